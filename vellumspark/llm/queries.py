@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, secrets, token_counts, toxicity
+from . import chat_format, decontaminate, secrets, token_counts, toxicity
 from .common import fresh_path
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest_contamination(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
+
+
 def op3_secret_scans(spark, sf_dir):
     return secrets.digest_spans(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -42,7 +47,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_secret_scans, op6_token_counts, op7_toxicity, op10_chat_formatting)
+    f.__name__: f for f in (op2_decontamination, op3_secret_scans, op6_token_counts, op7_toxicity, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {}
