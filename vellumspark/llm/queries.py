@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, secrets, token_counts, toxicity
+from . import chat_format, decontaminate, jaccard_join, secrets, token_counts, toxicity
 from .common import fresh_path
 
 
@@ -24,6 +24,10 @@ def op3_secret_scans(spark, sf_dir):
     return secrets.digest_spans(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark, sf_dir):
     # A cache of its own: each call counts every distinct text.
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), fresh_path(spark, "token-counts"))
@@ -47,7 +51,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_secret_scans, op6_token_counts, op7_toxicity, op10_chat_formatting)
+    f.__name__: f for f in (op2_decontamination, op3_secret_scans, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {}
