@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, mixing, near_vectors, secrets, token_counts, toxicity
+from . import chat_format, decontaminate, jaccard_join, mixing, near_vectors, secrets, suffix_dedup, token_counts, toxicity
 from .common import fresh_path
 
 
@@ -24,6 +24,10 @@ def op3_secret_scans(spark, sf_dir):
     return secrets.digest_spans(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op4_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.digest_repeats(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_secret_scans, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting)
+    f.__name__: f for f in (op2_decontamination, op3_secret_scans, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {}
