@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, mixing, near_vectors, secrets, suffix_dedup, token_counts, toxicity
+from . import chat_format, decontaminate, jaccard_join, lm_score, mixing, near_vectors, secrets, suffix_dedup, token_counts, toxicity
 from .common import fresh_path
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark, sf_dir):
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest_contamination(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
@@ -63,7 +67,7 @@ def op10_chat_formatting(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_secret_scans, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting)
+    f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_secret_scans, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {}
