@@ -52,8 +52,10 @@ def test_against_brute_force(spark, seed, length):
     assert got(spark, docs, length) == brute(docs, length)
 
 
-def test_hot_cores_and_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(S, "HOT", 2)
+@pytest.mark.parametrize("hot,huge", [(2, 1 << 16), (2, 3), (2, 2)])
+def test_hot_cores_and_repeated_rows(spark, monkeypatch, hot, huge):
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "HUGE", huge)
     docs = corpus(5)
     docs += [docs[1], docs[2], (None, "q" * 30), (7, "other text under a used id, which stays")]
     assert got(spark, docs, 20) == brute(docs, 20)

@@ -14,7 +14,7 @@ unique, and ranks past the threshold are not told apart any further:
    and both sides).  Places of equal stretches repeat in all their windows.
 3. Stretches that share a core but differ are ranked window by window, each
    window by its pair of half-length ranks.  One place of each stretch takes
-   part; cores of more than ``HOT`` stretches are dealt by window.
+   part; windows of cores with many stretches are dealt by their offset.
 
 Ranks are 64-bit fingerprints of the bytes, so nothing has to be sorted into
 dense numbers; different strings get one rank with a chance near 2**-64 a pair.
@@ -34,10 +34,11 @@ from pyspark.sql import types as T
 
 from .common import Fingerprints, discard, materialize, mix, parts, segments, text_bytes
 
-#: Stretches of one core that one task compares.
-HOT = 64
+#: Stretches of a core beyond which its windows are dealt by their offset to the
+#: core, ``BLOCK`` offsets together, and beyond which one by one.
+HOT, HUGE, BLOCK = 64, 1 << 16, 8
 
-_PLACE = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("core", T.LongType()), T.StructField("stretch", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+_PLACE = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("core", T.LongType()), T.StructField("stretch", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("lead", T.LongType())])
 _PLACE_ARROW = pa.schema([(f.name, pa.int64()) for f in _PLACE])
 
 
@@ -55,14 +56,15 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def places(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(row, core, stretch, first, last) of a segment's core places: windows
-    first to last (starts, in bytes of the row) have the same core place."""
+    """(row, core, stretch, first, last, lead) of a segment's core places: windows
+    first to last (starts, in bytes of the row) have the same core place, which
+    lies ``lead`` bytes after the first."""
     none = np.zeros(0, np.int64)
     half = length // 2
     prints = Fingerprints(data)
     cores = prints.fixed(half)
     if len(data) < length:
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     ranked = (cores & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(cores), dtype=np.uint64)
     core_at = (sliding_min(ranked, length - half + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     sizes = np.diff(offsets)
@@ -70,7 +72,7 @@ def places(data: np.ndarray, offsets: np.ndarray, length: int):
     valid = np.arange(len(core_at)) + length <= offsets[row + 1]
     start = np.flatnonzero(valid)
     if not len(start):
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none
     at, row = core_at[start], row[start]
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
@@ -78,7 +80,7 @@ def places(data: np.ndarray, offsets: np.ndarray, length: int):
     first, last = start[k], start[np.append(k[1:], len(start)) - 1]
     at, row = at[k], row[k]
     stretch = prints.ranges(first, last + length) ^ mix(((at - first) << 32 | (last - first)).astype(np.uint64))
-    return row, cores[at], stretch, first - offsets[row], last - offsets[row]
+    return row, cores[at], stretch, first - offsets[row], last - offsets[row], at - first
 
 
 def _place_batches(length: int):
@@ -87,42 +89,51 @@ def _place_batches(length: int):
             ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             data, offsets = text_bytes(batch.column(2))
             for a, b in segments(offsets):
-                row, core, stretch, first, last = places(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[a + row], keys[a + row], core.view(np.int64), stretch.view(np.int64), first, last)], schema=_PLACE_ARROW)
+                row, core, stretch, first, last, lead = places(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[a + row], keys[a + row], core.view(np.int64), stretch.view(np.int64), first, last, lead)], schema=_PLACE_ARROW)
 
     return run
 
 
-_WINDOWS = T.StructType([*_PLACE.fields, T.StructField("single", T.BooleanType()), T.StructField("hot", T.BooleanType()), T.StructField("prints", T.ArrayType(T.LongType()))])
+_WINDOWS = T.StructType([*(T.StructField(n, T.LongType()) for n in ("id", "h", "core", "stretch", "block", "first")), T.StructField("single", T.BooleanType()), T.StructField("prints", T.ArrayType(T.LongType()))])
 
 
 def _window_batches(length: int):
-    """Fingerprints of the windows of each stretch of a row."""
+    """Fingerprints of the windows of each stretch of a row; block 0 holds them all,
+    blocks from 1 those of a few offsets to the core, and block -1 is for huge cores."""
 
     def run(batches):
         for batch in batches:
             ids, keys = (batch.column(k).to_pylist() for k in (0, 1))
             data, offsets = text_bytes(batch.column(2))
             asked = batch.column(3).to_pylist()
-            out = [[] for _ in range(9)]
+            out = [[] for _ in range(8)]
             for a, b in segments(offsets):
                 prints = Fingerprints(data[offsets[a] : offsets[b]])
                 for k in range(a, b):
                     for s in asked[k]:
-                        at = np.arange(s["first"], s["last"] + 1) + (offsets[k] - offsets[a])
+                        first, last = s["first"], s["last"]
+                        at = np.arange(first, last + 1) + (offsets[k] - offsets[a])
                         found = prints.ranges(at, at + length).view(np.int64)
-                        for column, value in zip(out, (ids[k], keys[k], s["core"], s["stretch"], s["first"], s["last"], s["single"], s["hot"], found)):
-                            column.append(value)
+                        if s["kinds"] <= HOT or s["kinds"] > HUGE:
+                            pieces = [(0 if s["kinds"] <= HOT else -1, 0, len(found))]
+                        else:
+                            block = (s["lead"] - np.arange(len(found))) // BLOCK + 1
+                            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(found)]
+                            pieces = [(int(block[x]), x, y) for x, y in zip(edges, edges[1:])]
+                        for block, x, y in pieces:
+                            for column, value in zip(out, (ids[k], keys[k], s["core"], s["stretch"], block, first + x, s["single"], found[x:y])):
+                                column.append(value)
                 if len(out[0]) > 4096:
                     yield _window_batch(out)
-                    out = [[] for _ in range(9)]
+                    out = [[] for _ in range(8)]
             yield _window_batch(out)
 
     return run
 
 
 def _window_batch(out):
-    kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.list_(pa.int64())]
+    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=_WINDOWS.fieldNames())
 
 
@@ -157,12 +168,12 @@ def _shared_windows(batches):
 
     current, rows, out, before = None, [], [], None
     for batch in batches:
-        prints = batch.column(6)
+        prints = batch.column(7)
         flat, edges = prints.flatten().to_numpy(zero_copy_only=False), prints.offsets.to_numpy() - prints.offsets[0].as_py()
-        for j, (i, h, core, stretch, first, single) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)))):
-            if core != current:
+        for j, (i, h, core, stretch, block, first, single) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(7)))):
+            if (core, block) != current:
                 out += walk(rows)
-                current, rows = core, []
+                current, rows = (core, block), []
             elif stretch == before:  # rows that are alike in id and text
                 continue
             before = stretch
@@ -196,17 +207,17 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     cores = materialize(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "dedup-cores")
     ranked = materialize(found.join(cores, "core"), "dedup-places")
     discard(spark, cores)
-    one = F.min(F.struct("id", "h", "first", "last"))
+    one = F.min(F.struct("id", "h", "first", "last", "lead"))
     stretches = materialize(ranked.groupBy("core", "stretch").agg(F.count("*").alias("n"), one.alias("one")), "dedup-stretches")
     whole = ranked.join(stretches.where("n > 1").select("core", "stretch"), ["core", "stretch"]).select("id", "h", F.col("first").alias("start"), "last")
 
     several = stretches.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = stretches.join(several, "core").select("one.*", F.struct("core", "stretch", "one.first", "one.last", (F.col("n") == 1).alias("single"), (F.col("kinds") > HOT).alias("hot")).alias("s"))
+    asked = stretches.join(several, "core").select("one.*", F.struct("core", "stretch", "one.first", "one.last", "one.lead", (F.col("n") == 1).alias("single"), "kinds").alias("s"))
     asked = asked.groupBy("id", "h").agg(F.collect_list("s").alias("asked"))  # at most one for each place of a text
     windows = materialize(texts.join(asked, ["id", "h"]).select("id", "h", "text", "asked").mapInArrow(_window_batches(length), _WINDOWS), "dedup-windows")
-    cold = windows.where("not hot").select("id", "h", "core", "stretch", "first", "single", "prints")
-    shared = cold.repartition(n_parts, "core").sortWithinPartitions("core", "stretch").mapInArrow(_shared_windows, _SPAN)
-    single = windows.where("hot").select("id", "h", "core", "stretch", "single", F.posexplode("prints").alias("k", "print"), "first")
+    held = windows.where("block >= 0")
+    shared = held.repartition(n_parts, "core", "block").sortWithinPartitions("core", "block", "stretch").mapInArrow(_shared_windows, _SPAN)
+    single = windows.where("block < 0").select("id", "h", "core", "stretch", "single", F.posexplode("prints").alias("k", "print"), "first")
     both = single.groupBy("core", "print").agg(F.min("stretch").alias("lo"), F.max("stretch").alias("hi")).where("lo <> hi").select("core", "print")
     start = F.col("first") + F.col("k")
     hot = single.where("single").join(both, ["core", "print"]).select("id", "h", start.alias("start"), start.alias("last"))
