@@ -40,27 +40,27 @@ SPREAD = 0.02
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def _share(text: Column, length: Column, chars: str) -> Column:
-    return (length - F.length(F.translate(text, chars, ""))) / F.greatest(length, F.lit(1))
-
-
 def features(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """(id, n_tokens, f0...f7) of every document; extra columns only as asked."""
+    """(id, n_tokens, f0...f6) of every document; extra columns only as asked."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     length = F.length(text)
     words = F.filter(F.split(text, _SPACE), lambda w: w != "")
     base = docs.select(F.col(id_col).alias("id"), *keep, text.alias("text"), length.alias("chars"), words.alias("words"))
     text, length, n = F.col("text"), F.col("chars"), F.size("words")
     several = F.greatest(n, F.lit(1))
+    whole = F.greatest(length, F.lit(1))
+
+    def times(char: str):
+        return (length - F.length(F.replace(text, F.lit(char), F.lit("")))) / whole
+
     found = [
-        _share(text, length, "!?$#*%&@^~+=<>\\{}[]"),
-        _share(text, length, "|_/;:"),
-        _share(text, length, "0123456789"),
-        _share(text, length, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        _share(text, length, ".,"),
-        _share(text, length, "\n"),
+        F.regexp_count(text, F.lit("[!?$#*%&@^~+=<>{}_/;:\\[\\]]")) / whole,
+        F.regexp_count(text, F.lit("[0-9]")) / whole,
+        times("|"),
+        times("\n"),
         F.size(F.array_distinct("words")) / several,
         F.log1p(length / several) / 4,
+        F.octet_length(text) / whole - 1,
     ]
     return base.select("id", *keep, n.cast("long").alias("n_tokens"), *(x.cast("double").alias(f"f{k}") for k, x in enumerate(found)))
 
