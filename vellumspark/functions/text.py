@@ -86,7 +86,8 @@ def source_refs(text: Column | str) -> Column:
 
 def source_ref(text: Column | str) -> Column:
     """A source reference without quotes and trailing punctuation."""
-    return F.regexp_replace(F.regexp_replace(F.trim(_col(text)), "^[\"'`]+|[\"'`]+$", ""), "[。，；,.;:)\\]}]+$", "")
+    bare = F.regexp_replace(F.trim(_col(text)), "^[\"'`]+", "")
+    return F.regexp_replace(bare, "[\"'`。，；,.;:)\\]}]+$", "")
 
 
 def safe_id(text: Column | str) -> Column:
