@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, jaccard_join, lm_score, mixing, near_vectors, secrets, suffix_dedup, token_counts, toxicity
 from .common import fresh_path
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +64,10 @@ def op10_chat_formatting(spark, sf_dir):
     talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame(ESCAPES, talks.schema)
     ranks = token_counts.tokenizer_files("byte_bpe_50k.json")[1]
-    return chat_format.digest_conversations(chat_format.format_conversations(talks.unionByName(odd), ranks))
+    found = chat_format.digest_conversations(chat_format.format_conversations(talks.unionByName(odd), ranks))
+    return found.drop("n_tokens", "loss_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_secret_scans, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting)
 }
-
-ORACLE_SQL: dict[str, str] = {}
