@@ -53,3 +53,34 @@ def test_empty(spark, labelled):
     assert M.mix_to_targets(docs.where("false"), labels if labelled else none).count() == 0
     got = M.mix_to_targets(docs, none).toPandas()
     assert len(got) == docs.count() and (got[[f"p_{d}" for d in M.DOMAINS]] == 0.25).all().all()
+
+
+def test_domains_that_are_hard_to_tell_apart(spark):
+    """Forty plain gradient steps leave these targets missed by a tenth of all tokens."""
+    rng = np.random.default_rng(3)
+    chance = 0.5 + 0.03 * rng.standard_normal(400)
+    rows = [(k, 100 + k % 50, 0.1, float(0.45 + c - 0.5), 0.2, float(0.25 - c + 0.5)) for k, c in enumerate(chance)]
+    frame = spark.createDataFrame(rows, "id long, n_tokens long, p_q0t0 double, p_q0t1 double, p_q1t0 double, p_q1t1 double")
+    p, t = np.array([r[2:] for r in rows]), np.array([r[1] for r in rows], float)
+    mass, total = t @ p, t.sum()
+
+    def after(history):
+        r = np.ones(len(t))
+        for g in history:
+            r = np.maximum(0, r - p @ np.array(g))
+        return (t * r) @ p
+
+    def plain(goal, steps):
+        r = np.ones(len(t))
+        for _ in range(steps):
+            r = np.maximum(0, r - p @ (((t * r) @ p - goal) / mass))
+        return (t * r) @ p
+
+    # Within reach: the tokens of some rates that are not near 1.
+    goal = (t * np.where(chance > 0.53, 5.0, 0.05)) @ p
+    assert np.abs(plain(goal, 40) - goal).max() > 0.01 * total
+    assert np.abs(after(M._fit(frame, mass, goal, total)) - goal).max() <= M.TOLERANCE * total
+    # Out of reach: as near as long plain iteration comes.
+    goal = np.array([0.0, 0.9, 0.05, 0.05]) * total
+    square = lambda now: (((now - goal) ** 2) / mass).sum() / total
+    assert square(after(M._fit(frame, mass, goal, total))) <= square(plain(goal, 20_000)) + 1e-6 < square(plain(goal, 40))

@@ -4,10 +4,13 @@ A Gaussian naive Bayes classifier, fitted on the labelled documents, predicts
 for every document the chance of each domain (quality 0/1 and toxic 0/1).
 Nonnegative rates r are then fitted by projected-gradient least squares so that
 the expected tokens of each domain, the sum of r * tokens * chance, meet the
-targets.  The gradient is taken in the metric of the documents' tokens and each
-domain's residual is weighted by its own expected tokens, so the step size is
-bounded by the number of domains and needs no search; every step is one
-aggregation of a few numbers and the projection clips rates at zero.
+targets.  The gradient is taken in the metric of the documents' tokens, each
+domain's residual is weighted by its own expected tokens, and the projection
+clips rates at zero.  Steps are implicit: each takes the gradient at its own
+end, so it may be ``STEP`` long where domains are hard to tell apart.  Its four
+numbers are found by Newton's method; every try is one aggregation of a few
+numbers.  The fit ends when the targets are met or no rates come nearer to
+them, and fails if it reaches neither.
 
 Everything is DataFrame expressions: no Python runs on the executors, and the
 driver gets one row of sums per step.
@@ -33,7 +36,12 @@ DOMAINS = ("q0t0", "q0t1", "q1t0", "q1t1")
 #: Shares of the mixture's tokens, and its tokens as a share of the input's.
 TARGETS = {"q0t0": 0.05, "q0t1": 0.0, "q1t0": 0.9, "q1t1": 0.05}
 EPOCHS = 0.9
-STEPS, TOLERANCE = 40, 1e-6
+#: Largest residual of a fit that meets its targets, as a share of all tokens; if they are out
+#: of reach, how much of all tokens the weighted squares may still exceed the least ones by.
+TOLERANCE, SLACK = 1e-6, 1e-7
+#: Length of the first implicit step, how much longer each next one is, and the longest.  A fit
+#: that isn't done after ``STEPS`` aggregations fails.
+STEP, LONGER, LONGEST, STEPS = 1e6, 30, 1e11, 400
 #: Least standard deviation of a feature.
 SPREAD = 0.02
 
@@ -103,6 +111,55 @@ def _rate(history: list[list[float]]) -> Column:
     return rate
 
 
+def _fit(rows: DataFrame, mass: np.ndarray, goal: np.ndarray, total: float) -> list[list[float]]:
+    """Steps after which the rates meet the goal, or are as near to it as rates can be."""
+    tokens, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in DOMAINS]
+    pairs = [(j, k) for j in range(len(p)) for k in range(j, len(p))]
+    there = mass > 0
+    weight = np.where(there, 1 / np.maximum(mass, 1e-9), 0.0)
+    tries, length = 0, STEP
+
+    def sums(frame: DataFrame, *columns: Column) -> np.ndarray:
+        nonlocal tries
+        tries += 1
+        if tries > STEPS:
+            raise RuntimeError(f"mixing rates not fitted after {STEPS} aggregations; the residuals are {((now - goal) / total).tolist()} of all tokens")
+        return np.array([float(x or 0.0) for x in frame.agg(*columns).first()])
+
+    def at(step: np.ndarray):
+        """Value, gradient and curvature of what the implicit step minimises, and the domains' tokens after it."""
+        rated = rows.select("n_tokens", *(f"p_{d}" for d in DOMAINS), _rate([*history, step.tolist()]).alias("r"))
+        kept = F.when(F.col("r") > 0, tokens).otherwise(0.0)
+        got = sums(rated, F.sum(tokens * F.col("r") * F.col("r")).alias("s"), *(F.sum(tokens * x * F.col("r")).alias(f"t{k}") for k, x in enumerate(p)), *(F.sum(kept * p[j] * p[k]).alias(f"h{j}{k}") for j, k in pairs))
+        after, curve = got[1 : 1 + len(p)], np.diag(np.where(there, mass / length, 1.0))
+        for (j, k), x in zip(pairs, got[1 + len(p) :]):
+            curve[j, k] += x
+            curve[k, j] = curve[j, k]
+        value = 0.5 * got[0] + goal @ step + 0.5 * (mass / length) @ step**2
+        return value, np.where(there, goal - after + mass / length * step, 0.0), curve, after
+
+    history: list[list[float]] = []
+    now = mass
+    while np.abs(now - goal).max() > TOLERANCE * total:
+        # By convexity the squares exceed the least ones by no more than the slopes of the rates that
+        # could still fall, and the steepest negative slope times the tokens that rates may add.
+        slope = weight * (now - goal)
+        steepest = sums(rows.where("n_tokens > 0"), F.min(sum((F.lit(float(x)) * y for x, y in zip(slope, p)), F.lit(0.0))).alias("s"))[0]
+        if slope @ now + max(0.0, -steepest) * max(goal.sum(), now.sum()) <= SLACK * total:
+            break
+        step = np.zeros(len(p))
+        value, gradient, curve, after = at(step)
+        while np.abs(gradient).max() > 0.01 * TOLERANCE * total:
+            move, part = -np.linalg.solve(curve, gradient), 1.0
+            while (new := at(step + part * move))[0] > value + 1e-4 * part * (gradient @ move) + 1e-13 * abs(value):
+                part /= 2
+            step = step + part * move
+            value, gradient, curve, after = new
+        history.append(step.tolist())
+        now, length = after, min(LONGER * length, LONGEST)
+    return history
+
+
 def mix_to_targets(
     docs: DataFrame,
     labels: DataFrame,
@@ -126,17 +183,7 @@ def mix_to_targets(
     mass = np.array([float(first[f"t{k}"] or 0.0) for k in range(len(DOMAINS))])
     share = np.array([float(targets.get(d, 0.0)) for d in DOMAINS]) * (np.array(known) & (mass > 0))
     goal = epochs * total * share / share.sum() if share.sum() > 0 else epochs * mass
-    history: list[list[float]] = []
-    now = mass
-    while len(history) < STEPS and total > 0:
-        residual = now - goal
-        if np.abs(residual).max() <= TOLERANCE * total:
-            break
-        # Chances of a document sum to 1, so with residuals in units of each domain's own
-        # tokens the curvature is at most 1 and a step of 1 never overshoots.
-        history.append([float(x) for x in np.where(mass > 0, residual / np.maximum(mass, 1e-9), 0.0)])
-        sums = rows.select("n_tokens", *(f"p_{d}" for d in DOMAINS), _rate(history).alias("r")).agg(*(F.sum(tokens * x * F.col("r")).alias(f"t{k}") for k, x in enumerate(p))).first()
-        now = np.array([float(x or 0.0) for x in sums])
+    history = _fit(rows, mass, goal, total) if total > 0 else []
     rate = F.round(_rate(history), 6)
     luck = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 20)
     out = rows.withColumn("rate", rate)
