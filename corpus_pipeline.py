@@ -4,7 +4,7 @@ Each stage takes the rows its predecessor kept and returns a DataFrame that is
 written as Parquet and read again for the next one:
 
 1. toxicity: documents that the classifier rejects go;
-2. n-gram Jaccard join: of each group of near duplicates the document with the
+2. n-gram Jaccard join (five words, similarity 0.8): of each group of near duplicates the document with the
    smallest id stays (rows without an id are compared with nothing);
 3. benchmark decontamination: passages of the benchmark are cut from the texts;
 4. secret scans: secrets are replaced by a mark;
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = jaccard_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    stay = jaccard_join.jaccard_components(docs, width=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
     unnamed = docs.where("doc_id is null")
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed).select(docs.columns)
 

@@ -70,3 +70,12 @@ def test_run_and_empty(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_by_five_words_at_080(spark):
+    base = [f"w{k}" for k in range(104)]
+    assert len(shingles(" ".join(base), 5)) == 100
+    # 83 of 100 sets of five words shared, but only 84 of 101 of four; 79 of 100 are too few.
+    texts = [" ".join(base), " ".join(base[:87]), " ".join(base[21:])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()) == [0, 2]
