@@ -88,3 +88,23 @@ def test_repeated_rows_and_empty(spark):
 def test_a_short_text_is_not_a_shingle_of_a_longer_one(spark):
     docs = [(1, "a b c"), (2, "a b c d"), (3, "a  b\tc"), (4, "A b c d e" + " f" * 3)]
     assert got(spark, docs) == brute(docs)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaders_of_split_lists_are_refuted_too(spark, seed):
+    """Leaders found after the first walk keep their side, also of pairs checked before."""
+    rng = random.Random(seed)
+    ids = rng.sample(range(100), 4)
+    lead, x, y, z = ids
+    verdicts = spark.createDataFrame([(min(lead, x), max(lead, x), False, True)], "a long, b long, lead boolean, linked boolean")
+    walked = spark.createDataFrame([(lead, x, True), (lead, y, True), (x, z, False)], "a long, b long, lead boolean")
+    asked = J._unknown(walked, verdicts)
+    want = {(lead, x, True, True), (lead, y, True, None), (min(x, z), max(x, z), False, None)}
+    assert {tuple(r) for r in asked.collect()} == want
+    # The exact check refutes the leader and y: x and y are compared after all.
+    verdicts = verdicts.unionByName(asked.fillna(False, ["linked"]))
+    found = spark.createDataFrame([(k, min(lead, x)) for k in (lead, x)], "node long, component long")
+    classes = spark.createDataFrame([(k, 60) for k in ids], "id long, n long")
+    again = J._refuted(None, verdicts, classes, found, 85, 4)
+    assert {frozenset((r.a, r.b)) for r in again.collect()} >= {frozenset((x, y))}
+    assert J._unknown(walked, verdicts).count() == 0

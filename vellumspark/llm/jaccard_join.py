@@ -424,11 +424,9 @@ def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
         steps = [_leaders_of_chunks, _refuted, _open_chunks, _refuted]
     for step in steps:
         while True:
-            more = step(chunked, verdicts, classes, found, percent, n_parts)
-            done = verdicts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("lead")).distinct().join(done, ["a", "b"], "left_anti")
-            more = materialize(_checked(more, sets, percent), "jaccard-verdicts")
-            verdicts = verdicts.unionByName(more)
+            asked = materialize(_unknown(step(chunked, verdicts, classes, found, percent, n_parts), verdicts), "jaccard-asked")
+            more = materialize(_checked(asked.where("linked is null").drop("linked"), sets, percent), "jaccard-verdicts")
+            verdicts = verdicts.unionByName(more).unionByName(asked.where("linked is not null"))
             if not more.where("linked").limit(1).count():
                 break
             found = materialize(connected_components(verdicts.where("linked").select("a", "b")), "jaccard-components")
@@ -443,6 +441,16 @@ def _walked(rows: DataFrame, key: list[str], percent: int, n_parts: int) -> Data
     return pairs.groupBy("a", "b").agg(F.max("lead").alias("lead"))
 
 
+def _unknown(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """What ``pairs`` add to the verdicts, with the verdict where the sets have been checked: pairs that
+    have not, and leaders of pairs that have.  A leader stays first, so that ``_refuted`` finds its matches."""
+    least, greatest = F.least("a", "b"), F.greatest("a", "b")
+    turned = pairs.select(F.when(F.col("lead"), F.col("a")).otherwise(least).alias("a"), F.when(F.col("lead"), F.col("b")).otherwise(greatest).alias("b"), "lead").distinct()
+    known = verdicts.groupBy(least.alias("lo"), greatest.alias("hi")).agg(F.max("linked").alias("linked"))
+    met = turned.withColumns({"lo": least, "hi": greatest}).join(known, ["lo", "hi"], "left").where("linked is null or lead")
+    return met.join(verdicts.where("lead").select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "lead", "linked")
+
+
 def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -453,7 +461,7 @@ def _refuted(chunked, verdicts, classes, found, percent, n_parts):
     named = _named(star, found).join(classes.select("id", "n"), "id")
     one, two = (named.select("leader", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "linked", "component", "n"))) for s in ("a", "b"))
     again = one.where("not linked_a").join(two, "leader").where("component_a <> component_b and (linked_b or id_a < id_b)")
-    return again.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return again.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(False).alias("lead"))
 
 
 def _several(chunked, found):
