@@ -83,10 +83,8 @@ def test_blocks_of_items(spark, monkeypatch):
     assert rows(spark, docs, items) == brute(docs, items)
 
 
-def test_shards(spark, monkeypatch):
+def test_many_rows(spark):
     docs, items = corpus(4)
-    shard = D.Shard(D.Windows([(str(k), t) for k, t in items]))
-    assert not shard.full()
     assert rows(spark, docs * 3, items) == brute(docs * 3, items)
 
 
@@ -109,3 +107,44 @@ def test_spans_are_cut(spark):
 def test_very_long_texts(spark, text):
     got = rows(spark, [(1, text)], [(1, "word word")])
     assert got[0][1] == len(text.split()) and got[0][2] == (200_000 if " " in text else 0)
+
+
+def collide(first="a", second="b", doublings=8):
+    """Two different words of 256 letters that a polynomial modulo a power of two cannot tell apart."""
+    x, y = first, second
+    for _ in range(doublings):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_power_of_two_hashes_confuse(spark):
+    x, y = collide()
+    tail = " one two three four five six seven eight nine"
+    docs, items = [(1, x + tail), (2, y + tail), (3, tail)], [(1, x + tail)]
+    assert rows(spark, docs, items) == brute(docs, items)
+
+
+def test_several_shards(spark, monkeypatch):
+    docs, items = corpus(4)
+    monkeypatch.setattr(D, "SHARD_BYTES", 1000)
+    shared = type("Shared", (), {"value": [(str(i), t) for i, t in items]})
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]})
+    made, full = [], D.Shard.full
+    monkeypatch.setattr(D.Shard, "full", lambda self: (made.append(full(self)), made[-1])[1])
+    out = list(D._pass(shared, 10, 1, False)([b.slice(k, 2) for b in table.to_batches() for k in range(0, b.num_rows, 2)]))
+    assert sum(made) > 3
+    got = [(i, n, sum(s["end_word"] - s["first_word"] for s in spans), items) for c in out for i, n, spans, items in zip(*(x.to_pylist() for x in (c[0], *c[-3:])))]
+    want = sorted(brute(docs, items), key=str)
+    assert sorted([(i, n, h, len(own)) for i, n, h, own in got], key=str) == sorted([r[:4] for r in want], key=str)
+
+
+def test_clashing_columns_and_items_without_id(spark):
+    d = spark.createDataFrame([(1, "alpha beta", "s", "i", 1), (2, "gamma", "s", "i", 2)], "doc_id long, text string, _spans string, _items string, __spans int")
+    b = spark.createDataFrame([(None, "alpha"), (None, "beta"), ("null", "beta")], "item_id string, text string")
+    found = D.find_contamination(d, b)
+    assert found.columns[:5] == d.columns and [tuple(r) for r in found.select("_spans", "__spans").collect()] == [("s", 1), ("s", 2)]
+    got = {r.doc_id: r for r in D.digest_contamination(found).collect()}
+    assert got[1].n_items == 2 and got[1].items_sha256 == hashlib.sha256(b"null").hexdigest() and got[2].n_items == 0
+    assert {r.text for r in D.remove_contamination(d, b).collect()} == {"", "gamma"}

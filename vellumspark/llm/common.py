@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,7 +15,8 @@ from pyspark.sql import functions as F
 SEGMENT_BYTES = 2 << 20
 
 _MASK = (1 << 64) - 1
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: what it shuffled goes with the write, and batches of long texts stay small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,13 +43,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     survives the loss of any executor."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    # What is written needs its shuffle files no more.
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in _WRITING}
+    for key, value in _WRITING.items():
+        spark.conf.set(key, value)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._vellum_path = path
     return out
@@ -164,48 +165,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = np.array([_splitmix(i + 1) for i in range(256)], dtype=np.uint64)
-_BASE = _splitmix(12345) | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Fingerprints are polynomials modulo this prime.
+PRIME = (1 << 61) - 1
+_P, _LOW30, _LOW31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_BASE = _splitmix(12345) % PRIME
+_LENGTH = 0xD6E8FEB86659FD93
+#: Bytes over which the sums of one range stay under 64 bits.
+_REACH = 1 << 24
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INV)):
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo the prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**31 modulo the prime, for x below it."""
+    return ((x & _LOW30) << np.uint64(31)) + (x >> np.uint64(30))
+
+
+def _times(x: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """x * (high * 2**31 + low) modulo the prime."""
+    x1, x0 = x >> np.uint64(31), x & _LOW31
+    cross = x1 * low + x0 * high
+    return _reduced(((x1 * high) << np.uint64(1)) + (cross >> np.uint64(30)) + ((cross & _LOW30) << np.uint64(31)) + x0 * low)
+
+
+_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(1, np.uint64), np.ones(1, np.uint64))] * 2
+
+
+def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of the base and of its inverse, as high 30 and low 31 bits."""
+    if len(_powers[0][0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, PRIME))):
             table, size = np.ones(1, np.uint64), 1
             while size < n:
-                table = np.concatenate([table, table * np.uint64(pow(base, size, 1 << 64))])
+                step = pow(base, size, PRIME)
+                table = np.concatenate([table, _times(table, np.uint64(step >> 31), np.uint64(step & 0x7FFFFFFF))])
                 size *= 2
-            _powers[k] = table
-    return _powers[0], _powers[1]
+            _powers[k] = (table >> np.uint64(31), table & _LOW31)
+    return _powers
 
 
 class Fingerprints:
     """Fingerprints of any byte range of one buffer after one linear pass.
 
-    A polynomial over random 64-bit byte values modulo 2**64 with an odd
-    random base; equal ranges always agree and different ones differ except
-    with a chance near 2**-64 a pair.
+    The value of a range is its bytes (plus one) as a polynomial at a fixed base modulo 2**61 - 1, mixed with its
+    length.  Equal ranges always agree.  Two different ranges of n bytes agree for at most n of the 2**61 bases;
+    the base is a constant, so texts made to collide with it are not defended against.
     """
 
     def __init__(self, data: np.ndarray):
-        power, self.inverse = _power_tables(len(data) + 1)
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.multiply(_BYTE[data], power[: len(data)], out=self.prefix[1:])
-        np.cumsum(self.prefix, out=self.prefix)
+        (high, low), self.inverse = _power_tables(len(data) + 1)
+        value = data.astype(np.uint64) + np.uint64(1)
+        self.high, self.low = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(value * high[: len(data)], out=self.high[1:])
+        np.cumsum(value * low[: len(data)], out=self.low[1:])
+
+    def _between(self, high: np.ndarray, low: np.ndarray, inverse: tuple[np.ndarray, np.ndarray], length) -> np.ndarray:
+        raw = _reduced(_shifted(_reduced(high)) + _reduced(low))
+        return mix(_times(raw, *inverse) + length)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        high, low = self.high[end] - self.high[start], self.low[end] - self.low[start]
+        for k in np.flatnonzero(end - start > _REACH):
+            cuts = np.append(np.arange(start[k], end[k], _REACH), end[k])
+            high[k], low[k] = (sum(_reduced(np.diff(x[cuts])).tolist()) % PRIME for x in (self.high, self.low))
+        return self._between(high, low, (self.inverse[0][start], self.inverse[1][start]), (end - start).astype(np.uint64) * np.uint64(_LENGTH))
 
     def fixed(self, length: int) -> np.ndarray:
-        """Fingerprint of the ``length`` bytes from each position on."""
-        n = len(self.prefix) - length
+        """Fingerprint of the ``length`` bytes from each position on; ``length`` is under 2**24."""
+        n = len(self.high) - length
         if n <= 0:
             return np.zeros(0, np.uint64)
-        raw = (self.prefix[length:] - self.prefix[:n]) * self.inverse[:n]
-        return mix(raw + np.uint64((length * 0xD6E8FEB86659FD93) & _MASK))
+        inverse = (self.inverse[0][:n], self.inverse[1][:n])
+        return self._between(self.high[length:] - self.high[:n], self.low[length:] - self.low[:n], inverse, np.uint64((length * _LENGTH) & _MASK))
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -221,9 +256,8 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return word_hashes(data, end - np.array([len(w) for w in words], np.int64), end)
 
 
-def arrow(batch_schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in batch_schema], schema=batch_schema)
-
-
-def package_path() -> str:
-    return os.path.dirname(os.path.abspath(__file__))
+def free_name(name: str, taken) -> str:
+    """``name`` with as many underscores before it as keep it apart from the ``taken`` ones."""
+    while name in taken:
+        name = f"_{name}"
+    return name

@@ -11,10 +11,15 @@ than the shortest window are left out.  That loses no occurrence and keeps an
 index small.  Shards have a bounded number of bytes, and a benchmark beyond
 ``BLOCK_BYTES`` is searched in several blocks of items, one after the other.
 
+A word that has the fingerprint of a benchmark word is compared with it byte by
+byte.
+
 Defined cases: null has no words and no windows; an item of fewer words than a
-window is one window, an item without words none; repeated items count by their
-id; repeated documents give repeated results; an empty table on either side
-gives no hits; extra columns are kept.
+window is one window, an item without words none; items with one id are one
+item, and so are those without an id, which count but are not named; repeated
+documents give repeated results; very long texts form a shard of their own;
+windows that overlap or touch make one span; an empty table on either side
+gives no hits; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,56 +32,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_BREAK, hash_words, lowered, segments, text_bytes, word_hashes, word_spans
+from .common import ALNUM_BREAK, free_name, lowered, segments, text_bytes, word_hashes, word_spans
 from .fm_index import FMIndex
 
 WINDOW = 10
 #: Text that one shard holds, and symbols of one index.
 SHARD_BYTES, SHARD_SYMBOLS = 16 << 20, 1 << 20
 #: Benchmark text that is searched at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 SPANS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first_word", "end_word", "start", "end")]))
 _SPANS = pa.list_(pa.struct([(n, pa.int64()) for n in ("first_word", "end_word", "start", "end")]))
 
 
 class Windows:
-    """The windows of benchmark items as symbols of their vocabulary."""
+    """The windows of benchmark items as symbols of their vocabulary.
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW):
-        column = pa.array([text for _, text in items], pa.string())
-        data, offsets = text_bytes(column)
+    ``by_length`` has for each window length the distinct windows (a row each) and their items: those of window k
+    are ``owners[edges[k]:edges[k + 1]]``, numbers into ``items``."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int = WINDOW):
+        self.items = [item for item, _ in items]
+        data, offsets = text_bytes(pa.array([text for _, text in items], pa.string()))
         data = lowered(data)
         start, end, row = word_spans(data, offsets, ALNUM_BREAK)
-        words = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist())]
-        vocabulary = {w: k + 1 for k, w in enumerate(dict.fromkeys(words))}
-        symbols = [vocabulary[w] for w in words]
-        hashes = hash_words(list(vocabulary))
-        order = np.argsort(hashes)
-        self.hashes, self.symbols = hashes[order], (order + 1).astype(np.int32)
+        hashes = word_hashes(data, start, end)
+        self.hashes, first, code = np.unique(hashes, return_index=True, return_inverse=True)
+        #: The words themselves, to be compared where a fingerprint agrees.
+        self.data, self.start, self.end = data, start[first], end[first]
+        if not self.same(np.arange(len(hashes)), code, data, start, end).all():
+            raise ValueError("two words of the benchmark share a fingerprint")
         #: Cheap first test of a hash by its low bits.
         self.seen = np.zeros(1 << 16, bool)
-        self.seen[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
-        edges = np.searchsorted(row, np.arange(len(items) + 1))
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for k, (item, _) in enumerate(items):
-            own = symbols[edges[k] : edges[k + 1]]
-            for at in range(max(1, len(own) - width + 1) if own else 0):
-                owners[tuple(own[at : at + width])].add(item)
-        self.by_length: dict[int, tuple[np.ndarray, list[set[str]]]] = {}
-        for length in sorted({len(w) for w in owners}):
-            chosen = [w for w in owners if len(w) == length]
-            self.by_length[length] = (np.array(chosen, np.int32), [owners[w] for w in chosen])
+        self.seen[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+        symbols, counts = (code + 1).astype(np.int32), np.bincount(row, minlength=len(items))
+        begin = np.cumsum(counts) - counts
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in np.unique(np.minimum(counts[counts > 0], width)).tolist():
+            if length == width:
+                at = np.flatnonzero(row[: len(row) - width + 1] == row[width - 1 :])
+            else:
+                at = begin[counts == length]
+            windows, owner = symbols[at[:, None] + np.arange(length)], row[at]
+            by = np.lexsort((owner, *windows.T))
+            windows, owner = windows[by], owner[by]
+            other = np.ones(len(by), bool)
+            other[1:] = (windows[1:] != windows[:-1]).any(1)
+            fresh = other.copy()
+            fresh[1:] |= owner[1:] != owner[:-1]
+            number = np.cumsum(other) - 1
+            edges = np.searchsorted(number[fresh], np.arange(number[-1] + 2))
+            self.by_length[length] = (windows[other], edges, owner[fresh])
         self.shortest = min(self.by_length, default=0)
 
-    def encode(self, hashes: np.ndarray) -> np.ndarray:
-        """Symbols of words; 0 for those outside the vocabulary."""
+    def same(self, which: np.ndarray, code: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the words ``which`` of a text are the words ``code`` of the vocabulary, byte by byte."""
+        own, size = start[which], end[which] - start[which]
+        alike = size == self.end[code] - self.start[code]
+        k = np.flatnonzero(alike)
+        inside = np.arange(size[k].sum()) - np.repeat(np.cumsum(size[k]) - size[k], size[k])
+        wrong = data[np.repeat(own[k], size[k]) + inside] != self.data[np.repeat(self.start[code[k]], size[k]) + inside]
+        alike[k[np.repeat(np.arange(len(k)), size[k])[wrong]]] = False
+        return alike
+
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Symbols of the words of a text; 0 for those outside the vocabulary."""
+        hashes = word_hashes(data, start, end)
         out = np.zeros(len(hashes), np.int32)
         maybe = np.flatnonzero(self.seen[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
         if len(maybe) and len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
             right = self.hashes[at] == hashes[maybe]
-            out[maybe[right]] = self.symbols[at[right]]
+            maybe, at = maybe[right], at[right]
+            right = self.same(maybe, at, data, start, end)
+            out[maybe[right]] = at[right] + 1
         return out
 
 
@@ -97,7 +126,7 @@ class Shard:
             counts = np.bincount(row, minlength=b - a).astype(np.int64)
             self.n_words.append(counts)
             if len(start) and self.windows.shortest:
-                symbol = self.windows.encode(word_hashes(part, start, end))
+                symbol = self.windows.encode(part, start, end)
                 inside = symbol > 0
                 new = inside.copy()
                 new[1:] &= ~inside[:-1] | (row[1:] != row[:-1])
@@ -117,11 +146,11 @@ class Shard:
     def full(self) -> bool:
         return self.bytes >= SHARD_BYTES or self.symbols >= SHARD_SYMBOLS
 
-    def search(self) -> tuple[np.ndarray, dict[int, list[tuple[int, int, int, int]]], dict[int, set[str]]]:
-        """Words of each row; merged hit spans and items of the rows that have any."""
+    def search(self) -> tuple[np.ndarray, dict[int, list[tuple[int, int, int, int]]], dict[int, set[int]]]:
+        """Words of each row; merged hit spans and (numbers of) items of the rows that have any."""
         n_words = np.concatenate(self.n_words) if self.n_words else np.zeros(0, np.int64)
         spans: dict[int, list] = defaultdict(list)
-        items: dict[int, set[str]] = defaultdict(set)
+        items: dict[int, set[int]] = defaultdict(set)
         if not self.runs:
             return n_words, spans, items
         symbol, row, word, start, end = (np.concatenate(c) for c in zip(*self.runs))
@@ -135,7 +164,7 @@ class Shard:
         back[place] = np.arange(len(symbol))
         index = FMIndex(text)
         cover = np.zeros(len(text) + 1, np.int64)
-        for length, (patterns, owners) in self.windows.by_length.items():
+        for length, (patterns, edges, owners) in self.windows.by_length.items():
             low, high = index.search(patterns)
             sizes = high - low
             hit = np.flatnonzero(sizes)
@@ -148,7 +177,7 @@ class Shard:
             np.add.at(cover, at + length, -1)
             pairs = np.unique(np.stack([row[back[at]], which], 1), axis=0)
             for r, w in pairs.tolist():
-                items[r] |= owners[w]
+                items[r].update(owners[edges[w] : edges[w + 1]].tolist())
         covered = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
         if len(covered):
             k = back[covered]
@@ -183,75 +212,86 @@ def cut(text: str | None, spans) -> str | None:
     return "".join(pieces) + text[at:]
 
 
-_FOUND = (("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string())))
-
-
-def _pass(shared, width: int, text_col: str):
-    """One block of items against all rows; spans and items found before are kept."""
+def _pass(shared, width: int, text_at: int, before: bool):
+    """One block of items against all rows; with ``before``, the last three columns hold what earlier blocks found."""
     names = ("first_word", "end_word", "start", "end")
 
     def flush(windows, batches, shard):
         n_words, spans, items = shard.search()
         at = 0
         for batch in batches:
-            n, known = batch.num_rows, batch.schema.names
+            n = batch.num_rows
             new_spans = [spans.get(at + k, []) for k in range(n)]
-            new_items = [items.get(at + k, set()) for k in range(n)]
-            if "_spans" in known:
-                for k, (old, own) in enumerate(zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist())):
-                    new_spans[k] = merge_spans(new_spans[k] + [tuple(s[x] for x in names) for s in old or []])
-                    new_items[k] = new_items[k] | set(own or [])
+            new_items = [{windows.items[i] for i in items.get(at + k, ())} for k in range(n)]
+            kept = list(range(batch.num_columns - 3 * before))
+            if before:
+                for k, (old, own) in enumerate(zip(batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist())):
+                    new_spans[k] = merge_spans(new_spans[k] + [tuple(s[x] for x in names) for s in old])
+                    new_items[k].update(own)
             found = [
                 pa.array(n_words[at : at + n], pa.int64()),
                 pa.array([[dict(zip(names, s)) for s in own] for own in new_spans], _SPANS),
-                pa.array([sorted(own) for own in new_items], pa.list_(pa.string())),
+                pa.array([sorted(own, key=lambda i: (i is None, i)) for own in new_items], pa.list_(pa.string())),
             ]
-            kept = [k for k, name in enumerate(known) if name not in ("_n_words", "_spans", "_items")]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + found, names=[known[k] for k in kept] + ["_n_words", "_spans", "_items"])
+            yield [batch.column(k) for k in kept] + found
             at += n
 
     def run(batches):
         windows = Windows(shared.value, width)
         held, shard = [], Shard(windows)
         for batch in batches:
-            for a in range(0, max(1, batch.num_rows), 2048):
+            for a in range(0, batch.num_rows, 2048):
                 piece = batch.slice(a, 2048)
-                shard.add(piece.column(piece.schema.names.index(text_col)))
+                shard.add(piece.column(text_at))
                 held.append(piece)
                 if shard.full():
                     yield from flush(windows, held, shard)
                     held, shard = [], Shard(windows)
-        if held:
-            yield from flush(windows, held, shard)
+        yield from flush(windows, held, shard)
 
     return run
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with ``_n_words``, the merged hit ``_spans`` (word numbers and code
-    points, ends exclusive) and the ``_items`` with occurring windows."""
+    """``docs`` and three more columns, the last ones: the number of words, the merged hit spans (word numbers and
+    code points, ends exclusive) and the items with occurring windows.  They are called ``_n_words``, ``_spans`` and
+    ``_items``, with more underscores where ``docs`` has such a column."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    fields = [T.StructField("_n_words", T.LongType()), T.StructField("_spans", SPANS), T.StructField("_items", T.ArrayType(T.StringType()))]
-    out = T.StructType([*docs.schema.fields, *fields])
+    kinds = {"_n_words": T.LongType(), "_spans": SPANS, "_items": T.ArrayType(T.StringType())}
+    names = [free_name(name, docs.columns) for name in kinds]
+    out = T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind in zip(names, kinds.values()))])
+    text_at = docs.columns.index(text_col)
     for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        rows = [(r["item"], r["text"]) for r in own.orderBy("item", "text").collect()]  # at most about BLOCK_BYTES
-        docs = docs.mapInArrow(_pass(spark.sparkContext.broadcast(rows), width, text_col), out)
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
+        rows = [(r["item"], r["text"]) for r in own.orderBy("item", "text").collect()]  # about BLOCK_BYTES
+        step = _pass(spark.sparkContext.broadcast(rows), width, text_at, block > 0)
+        docs = docs.mapInArrow(named(step, out.names), out)
     return docs
 
 
+def named(step, names: list[str]):
+    """A step over batches that yields lists of columns, with their names."""
+
+    def run(batches):
+        for columns in step(batches):
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
 def digest_contamination(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The columns of the query, from :func:`find_contamination`."""
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda total, s: total + s["end_word"] - s["first_word"])
+    n_words, spans, items = (F.col(f"`{name}`") for name in found.columns[-3:])
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["end_word"] - s["first_word"])
     return found.select(
         id_col,
-        F.col("_n_words").alias("n_words"),
+        n_words.alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 
@@ -261,16 +301,16 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     schema = docs.schema
     found = find_contamination(docs, benchmark, text_col=text_col, **options)
 
-    def run(batches):
+    at, width = schema.names.index(text_col), len(schema)
+
+    def step(batches):
         for batch in batches:
-            names = batch.schema.names
-            at, spans = names.index(text_col), batch.column(names.index("_spans")).to_pylist()
-            columns = [batch.column(k) for k in range(len(schema))]
+            columns, spans = [batch.column(k) for k in range(width)], batch.column(width + 1).to_pylist()
             if any(spans):
                 columns[at] = pa.array([cut(t, s) for t, s in zip(columns[at].to_pylist(), spans)], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names[: len(schema)])
+            yield columns
 
-    out = found.mapInArrow(run, schema)
+    out = found.mapInArrow(named(step, schema.names), schema)
     if count_col in schema.fieldNames():
         out = out.withColumn(count_col, F.when(F.col(count_col).isNotNull(), F.length(text_col)).cast(schema[count_col].dataType))
     return out
