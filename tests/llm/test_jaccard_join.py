@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from vellumspark.llm import jaccard_join as J
@@ -72,12 +73,39 @@ def test_against_brute_force(spark, seed):
     assert got(spark, docs) == brute(docs)
 
 
-def test_split_lists(spark, monkeypatch):
-    monkeypatch.setattr(J, "CHUNK", 8)
-    docs = corpus(4, groups=4, size=14)
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("limit", ["MEMBERS", "SHINGLES"])
+def test_split_lists(spark, monkeypatch, seed, limit):
+    monkeypatch.setattr(J, limit, {"MEMBERS": 4, "SHINGLES": 300}[limit])
+    docs = corpus(4 + seed, groups=4, size=14)
     assert got(spark, docs) == brute(docs)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_a_walk_connects_what_its_links_connect(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, 80).astype(np.uint64)
+    sets = []
+    for _ in range(60):
+        own = base.copy()
+        edits = rng.integers(0, 14)
+        own[rng.integers(0, 80, edits)] = rng.integers(0, 1 << 60, edits)
+        sets.append(np.unique(own[: rng.integers(60, 81)]))
+    group, wanted = np.arange(60) // 2, rng.random(60) < 0.4
+    root = group.copy()
+    for i in range(60):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if (wanted[i] or wanted[j]) and 100 * shared >= 85 * (len(sets[i]) + len(sets[j]) - shared):
+                root[root == root[i]] = root[j]
+    edges = list(J.Walk(sets, 85, group, wanted).edges())
+    found = group.copy()
+    for i, j in edges:
+        assert found[i] != found[j]
+        found[found == found[i]] = found[j]
+    assert len(edges) > 5 and all((root[i] == root[j]) == (found[i] == found[j]) for i in range(60) for j in range(i))
+
+
 def test_repeated_rows_and_empty(spark):
     docs = corpus(5, groups=3)
     assert got(spark, docs + docs) == sorted(brute(docs) + brute(docs))
@@ -90,21 +118,15 @@ def test_a_short_text_is_not_a_shingle_of_a_longer_one(spark):
     assert got(spark, docs) == brute(docs)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_leaders_of_split_lists_are_refuted_too(spark, seed):
-    """Leaders found after the first walk keep their side, also of pairs checked before."""
-    rng = random.Random(seed)
-    ids = rng.sample(range(100), 4)
-    lead, x, y, z = ids
-    verdicts = spark.createDataFrame([(min(lead, x), max(lead, x), False, True)], "a long, b long, lead boolean, linked boolean")
-    walked = spark.createDataFrame([(lead, x, True), (lead, y, True), (x, z, False)], "a long, b long, lead boolean")
-    asked = J._unknown(walked, verdicts)
-    want = {(lead, x, True, True), (lead, y, True, None), (min(x, z), max(x, z), False, None)}
-    assert {tuple(r) for r in asked.collect()} == want
-    # The exact check refutes the leader and y: x and y are compared after all.
-    verdicts = verdicts.unionByName(asked.fillna(False, ["linked"]))
-    found = spark.createDataFrame([(k, min(lead, x)) for k in (lead, x)], "node long, component long")
-    classes = spark.createDataFrame([(k, 60) for k in ids], "id long, n long")
-    again = J._refuted(None, verdicts, classes, found, 85, 4)
-    assert {frozenset((r.a, r.b)) for r in again.collect()} >= {frozenset((x, y))}
-    assert J._unknown(walked, verdicts).count() == 0
+def test_words_that_power_of_two_hashes_confuse(spark):
+    x, y = "a", "b"
+    for _ in range(8):
+        x, y = x + y, y + x
+    docs = [(1, f"{x} b c d"), (2, f"{y} b c d"), (3, f"{x} b c d")]
+    assert got(spark, docs) == brute(docs)
+
+
+def test_rows_of_one_id_and_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(120_000))
+    docs = [(7, "a b c d e"), (7, "p q r s t"), (3, "a b c d e"), (9, "p q r s t"), (11, long), (12, long + " end")]
+    assert {tuple(r) for r in J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "component_id").collect()} == {(7, 3), (3, 3), (9, 3), (11, 11), (12, 11)}

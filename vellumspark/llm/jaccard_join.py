@@ -10,24 +10,25 @@
   member that no other can reach is skipped.  Lists with the same smallest
   member (by signature), and then those with one leader, are walked as one
   list of all their members.
-* Answers from a similar set: in a list the smallest set left is the leader.
-  Parity bitmaps (one bit per shingle, n bits or so) bound the overlap of the
-  leader with all others.  Sets that may match it take over its answers: they
-  are linked to the leader instead of to each other, and a set at distance h
-  from the leader is compared with them only if h does not exceed their own
-  distances by more than a match allows (parity distances are a metric).
-  Where an exact check refutes a leader's match, that set is compared with the
-  leader's other matches after all, so no link between components is lost.
-* Candidate pairs that lie in different classes are checked on the whole sets.
-
-A list beyond ``CHUNK`` members is walked in chunks and the chunks' leaders
-once more; two clusters whose leaders leave a match of members open are
-compared member by member.
+* Answers from a similar set: a walk has the sets of its list and finds for a
+  set its overlaps with all others of the list.  If a set X is close to a set L
+  whose overlaps are known, those of X are L's, less the lists of the shingles
+  that only L has, plus the lists of those that only X has.  A set whose whole
+  block is connected with it by now is skipped.
+* A walk gives a forest of its links, so what leaves a list grows with its
+  members and not with their pairs.
+
+A list beyond ``MEMBERS`` sets or ``SHINGLES`` shingles is dealt by hash to
+chunks, which are walked alone.  Then, for lists whose members lie in several
+components by now, every member outside the largest of them meets all chunks.
+That compares whatever is not connected, so no link between components is lost.
 
 Defined cases: null or empty text (or one without words) has no set, size 0,
 and is linked with nothing; fewer words than a shingle make one shingle of all;
-repeated rows are one class; an empty table gives an empty result; extra
-columns are ignored.  Rows that share an id are one document.
+very long texts are whole sets like others; repeated rows are one class; of
+equal sizes the smaller signature comes first, which no result depends on; an
+empty table gives an empty result; extra columns are ignored.  Rows that share
+an id are one document, linked with what any of them is linked with.
 """
 
 from __future__ import annotations
@@ -45,8 +46,10 @@ from .components import connected_components
 
 #: Distinct shingles of most sets, at most, whose order is by their count.
 HEAVY = 1 << 17
-#: Members of a list that one task walks at once.
-CHUNK = 4096
+#: Sets and shingles of a list that one walk takes at once; a single set may be larger.
+MEMBERS, SHINGLES = 2048, 1 << 20
+#: Sets of a walk whose overlaps are kept for similar ones.
+KEPT = 16
 #: Text whose postings travel together.
 PACK_BYTES = 8 << 20
 
@@ -94,79 +97,79 @@ def signature(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def bitmap_bits(n: int) -> int:
-    return min(1 << 16, max(64, 1 << max(0, int(n) - 1).bit_length()))
-
-
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of ``bitmap_bits`` cells."""
-    bits = bitmap_bits(len(shingles))
-    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def fold(map_: bytes, size: int) -> np.ndarray:
-    """A bitmap folded to ``size`` bytes; parities add up."""
-    return np.bitwise_xor.reduce(np.frombuffer(map_, np.uint8).reshape(-1, size), axis=0)
-
-
-def reachable(n, m, h, percent: int):
-    """Whether sets of n and m shingles at least h apart may match."""
-    overlap = np.minimum((n + m - h) // 2, np.minimum(n, m))
-    return 100 * overlap >= percent * (n + m - overlap)
-
-
-def slack(n, m, percent: int):
-    """Most shingles by which two matching sets of n and m can differ."""
-    return (n + m) * (100 - percent) // (100 + percent) + 1
-
-
-def walk_list(sizes: np.ndarray, maps: list[bytes], percent: int):
-    """Pairs to check of one list, as (leader or first, other, parity distance,
-    whether the first is the other's leader), by place in the list."""
-    order = np.argsort(sizes, kind="stable")
-    active = order
-    while len(active):
-        lead, rest = active[0], active[1:]
-        n = int(sizes[lead])
-        # Sizes are in order: what a match of a match can reach is a block at the front.
-        rest = rest[: np.searchsorted(sizes[rest], n * 10_000 // (percent * percent), side="right")]
-        if not len(rest):
-            active = active[1:]
-            continue
-        width = len(maps[lead])
-        own = np.frombuffer(maps[lead], np.uint8)
-        folded = np.stack([np.frombuffer(maps[k], np.uint8) if len(maps[k]) == width else fold(maps[k], width) for k in rest])
-        h = np.bitwise_count(folded ^ own).sum(1).astype(np.int64)
-        m = sizes[rest]
-        match = reachable(n, m, h, percent)
-        for k in np.flatnonzero(match):
-            yield int(lead), int(rest[k]), int(h[k]), True
-        inner, outer = np.flatnonzero(match), np.flatnonzero(~match)
-        if len(inner) and len(outer):
-            outer = outer[h[outer] <= h[inner].max() + slack(m[outer], int(m[inner].max()), percent)]
-            for k in outer:
-                near = inner[h[inner] >= h[k] - slack(m[inner], m[k], percent)]
-                if len(near):
-                    d = np.bitwise_count(folded[near] ^ folded[k]).sum(1).astype(np.int64)
-                    for j in near[reachable(m[near], m[k], d, percent)]:
-                        yield int(rest[j]), int(rest[k]), -1, False
-        gone = np.zeros(len(active), bool)
-        gone[0] = True
-        gone[1 : 1 + len(rest)] = match
-        active = active[~gone]
+class Walk:
+    """The sets of one list; ``edges`` connects what links between them connect.
+
+    Members with ``wanted`` false meet only members with it true; ``group`` has the components known before."""
+
+    def __init__(self, shingles: list[np.ndarray], percent: int, group: np.ndarray, wanted: np.ndarray):
+        self.percent = percent
+        self.n = np.array([len(s) for s in shingles], np.int64)
+        self.order = np.argsort(self.n, kind="stable")
+        self.n = self.n[self.order]
+        self.wanted = wanted[self.order]
+        self.group = np.unique(group[self.order], return_inverse=True)[1]
+        flat = np.concatenate([shingles[k] for k in self.order])
+        owner = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        by = np.argsort(flat, kind="stable")
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[by[1:]] != flat[by[:-1]]
+        self.local = np.empty(len(flat), np.int64)
+        self.local[by] = np.cumsum(new) - 1
+        self.first = np.cumsum(self.n) - self.n
+        #: Members of each shingle, one shingle after the other.
+        self.members, self.edge = owner[by], np.append(np.flatnonzero(new), len(flat))
+
+    def own(self, k: int) -> np.ndarray:
+        return self.local[self.first[k] : self.first[k] + self.n[k]]
+
+    def counts(self, shingles: np.ndarray) -> np.ndarray:
+        """How many of the shingles each member has."""
+        start, size = self.edge[shingles], self.edge[shingles + 1] - self.edge[shingles]
+        at = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+        return np.bincount(self.members[at], minlength=len(self.n))
+
+    def edges(self):
+        """Pairs of places in the list given."""
+        total = len(self.n)
+        reach = np.searchsorted(self.n, self.n * 100 // self.percent, side="right")
+        kept: list[tuple[int, np.ndarray]] = []  # members and their overlaps with all
+        for k in range(total):
+            block = slice(k + 1, reach[k])
+            open_ = self.group[block] != self.group[k]
+            if not self.wanted[k]:
+                open_ &= self.wanted[block]
+            if not open_.any():
+                continue
+            near, apart = None, self.n[k]
+            for leader, overlaps in kept:
+                if (d := self.n[leader] + self.n[k] - 2 * overlaps[k]) < apart:
+                    near, apart = (leader, overlaps), d
+            own = self.own(k)
+            if near is None:
+                overlaps = self.counts(own)
+                kept = [(k, overlaps), *kept[: KEPT - 1]]
+            else:
+                theirs = self.own(near[0])
+                overlaps = near[1] - self.counts(np.setdiff1d(theirs, own, True)) + self.counts(np.setdiff1d(own, theirs, True))
+            shared = overlaps[block]
+            linked = open_ & (100 * shared >= self.percent * (self.n[k] + self.n[block] - shared))
+            for j in (np.flatnonzero(linked) + k + 1).tolist():
+                if self.group[j] != self.group[k]:
+                    self.group[self.group == self.group[j]] = self.group[k]
+                    yield int(self.order[k]), int(self.order[j])
 
 
 # --------------------------------------------------------------------------
 # Passes over the documents
 
-_SCAN = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("map", T.BinaryType()), T.StructField("shingle", T.LongType()), T.StructField("times", T.LongType())])
+_SCAN = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("shingle", T.LongType()), T.StructField("times", T.LongType())])
 
 
 def _scan(width: int):
-    """Size, signature and bitmap of each document's set; shingles that several
+    """Size and signature of each document's set; shingles that several
     different sets of one pack hold, with how many."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("map", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
 
     def heavy(held):
         if held:
@@ -174,7 +177,7 @@ def _scan(width: int):
             often = times >= 3
             k = int(often.sum())
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(shingles[often].view(np.int64)), pa.array(times[often], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.binary()), pa.array(shingles[often].view(np.int64)), pa.array(times[often], pa.int64())], schema=schema)
 
     def run(batches):
         seen: set[bytes] = set()
@@ -186,7 +189,7 @@ def _scan(width: int):
                 sets = [shingles[edges[j] : edges[j + 1]] for j in range(k)]
                 sigs = [signature(s) if len(s) else None for s in sets]
                 none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(edges)), pa.array(sigs, pa.binary()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(edges)), pa.array(sigs, pa.binary()), none, none], schema=schema)
                 for sig, own in zip(sigs, sets):
                     if sig is not None and sig not in seen:
                         seen.add(sig)
@@ -321,67 +324,58 @@ def _lists(percent: int):
     return run
 
 
-_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("lead", T.BooleanType())])
-_PAIR_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("lead", pa.bool_())])
-
+_SET = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
-def _candidates(percent: int):
-    def walk(ids, sizes, maps):
-        rows = [(ids[x], ids[y], lead) for x, y, _, lead in walk_list(np.array(sizes, np.int64), maps, percent)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PAIR_ARROW)], schema=_PAIR_ARROW)
 
+def _sets(width: int):
     def run(batches):
-        current, ids, sizes, maps = None, [], [], []
+        seen: set[bytes] = set()
         for batch in batches:
-            for key, i, n, m in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if key != current:
-                    yield from walk(ids, sizes, maps)
-                    current, ids, sizes, maps = key, [], [], []
-                ids.append(i)
-                sizes.append(n)
-                maps.append(m)
-        yield from walk(ids, sizes, maps)
+            for _, edges, values in shingle_sets(batch.column(0), width):
+                sigs, sets = [], []
+                for j in range(len(edges) - 1):
+                    own = values[edges[j] : edges[j + 1]]
+                    if len(own) and (sig := signature(own)) not in seen:
+                        seen.add(sig)
+                        sigs.append(sig)
+                        sets.append(own.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["sig", "shingles"])
 
     return run
 
 
-_SET = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])
-
-
-def _sets(width: int):
-    def run(batches):
-        for batch in batches:
-            for a, edges, values in shingle_sets(batch.column(1), width):
-                k = len(edges) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, k), pa.array([values[edges[j] : edges[j + 1]].tobytes() for j in range(k)], pa.binary())], names=["id", "shingles"])
-
-    return run
+_EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-_VERDICT = T.StructType([*_PAIR.fields, T.StructField("linked", T.BooleanType())])
+def _walks(percent: int):
+    """Forests of the walks that a task gets, from (walk, id, group, wanted, shingles) rows in order of walk."""
 
+    def walk(ids, groups, wanted, shingles):
+        if len(ids) > 1:
+            edges = list(Walk([np.frombuffer(s, np.uint64) for s in shingles], percent, np.array(groups), np.array(wanted)).edges())
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[e[side]] for e in edges], pa.int64()) for side in (0, 1)], names=["a", "b"])
 
-def _verify(percent: int):
     def run(batches):
+        current, held = None, ([], [], [], [])
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(3), batch.column(4)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(linked, pa.bool_())], names=["a", "b", "lead", "linked"])
+            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if key != current:
+                    yield from walk(*held)
+                    current, held = key, ([], [], [], [])
+                for column, value in zip(held, row):
+                    column.append(value)
+        yield from walk(*held)
 
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` with whether they link.  Plain joins, which Spark splits where a leader has many pairs."""
-    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(s)).hint("merge") for c, s in ("ax", "by"))
-    both = pairs.join(two, "b").join(one, "a")
-    return both.select("a", "b", "lead", "x", "y").mapInArrow(_verify(percent), _VERDICT)
+def _walked(rows: DataFrame, key: list[str], sets: DataFrame, percent: int, n_parts: int, name: str) -> DataFrame:
+    """Edges from the walks that ``key`` tells apart; rows have sig, id, group and wanted as well."""
+    keyed = rows.select(F.xxhash64(*key).alias("deal"), F.struct(*key).alias("walk"), "sig", "id", "group", "wanted")
+    whole = keyed.join(sets.hint("merge"), "sig").repartition(n_parts, "deal").sortWithinPartitions("walk")
+    plain = F.concat_ws("/", *(F.hex(f"walk.{k}") for k in key)).alias("walk")
+    return materialize(whole.select(plain, "id", "group", "wanted", "shingles").mapInArrow(_walks(percent), _EDGE), name)
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,7 +386,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     scanned = materialize(texts.mapInArrow(_scan(width), _SCAN), "jaccard-scan")
-    rows = scanned.where("n is not null").select("id", "n", "sig", "map")
+    rows = scanned.where("n is not null").select("id", "n", "sig")
     counted = scanned.where("n is null").groupBy("shingle").agg(F.sum("times").alias("times"))
     top = counted.orderBy(F.desc("times"), "shingle").limit(HEAVY).collect()  # at most HEAVY rows
     keys = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
@@ -400,93 +394,59 @@ def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
     by = np.argsort(keys)
     heavy = spark.sparkContext.broadcast((keys[by], ranks[by]))
 
-    classes = materialize(rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("map").alias("map")), "jaccard-classes")
+    # A class is named by its least id; rows of one id hold several classes together.
+    classes = materialize(rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
     packs = texts.mapInArrow(_index(width, percent, 4 * n_parts, heavy), _PACK)
     lists = packs.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists(percent), _LIST)
-    members = materialize(lists.distinct().join(classes, "sig").select("list", "id", "n", "map"), "jaccard-members")
+    first = materialize(lists.distinct().join(classes, "sig").select("list", "sig", "id", "n"), "jaccard-members")
     # Once more, now that lists are long: those with one leader are walked as one.
-    leads = members.groupBy("list").agg(F.min(F.struct("n", "id")).alias("lead"))
-    led = members.join(leads.hint("merge"), "list").select(F.col("lead.id").cast("string").cast("binary").alias("list"), "id", "n", "map")
-    members = materialize(led.dropDuplicates(["list", "id"]), "jaccard-lists")
-
-    large = members.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > CHUNK)
-    chunk = F.when(F.col("size") > CHUNK, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (CHUNK / 2)))).otherwise(0)
-    chunked = members.join(large, "list", "left").withColumn("chunk", chunk)
-    pairs = materialize(_walked(chunked, ["list", "chunk"], percent, n_parts), "jaccard-pairs")
-
-    # Every set that some pair or some split list may ask for.
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.join(large, "list", "left_semi").select("id")).distinct()
-    sets = materialize(texts.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), _SET), "jaccard-sets")
-    verdicts = materialize(_checked(pairs, sets, percent), "jaccard-verdicts")
-    found = materialize(connected_components(verdicts.where("linked").select("a", "b")), "jaccard-components")
-    steps = [_refuted]
+    leads = first.groupBy("list").agg(F.min(F.struct("n", "sig")).alias("lead"))
+    led = first.join(leads.hint("merge"), "list").select(F.col("lead.sig").alias("list"), "sig", "id", "n")
+    members = materialize(led.dropDuplicates(["list", "sig"]), "jaccard-lists")
+
+    # The sets that some list asks for.
+    needed = members.select("id").distinct()
+    found = texts.join(needed.hint("merge"), "id", "left_semi").select("text").mapInArrow(_sets(width), _SET)
+    sets = materialize(found.dropDuplicates(["sig"]), "jaccard-sets")
+
+    whole = members.groupBy("list").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("chunks"))
+    large = materialize(whole.where("chunks > 1"), "jaccard-large")  # few: each has MEMBERS sets or SHINGLES shingles
+    chunked = members.join(large, "list", "left").fillna(1, ["chunks"]).withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
+    alone = chunked.withColumns({"group": F.xxhash64("sig"), "wanted": F.lit(True)})
+    edges = _walked(alone, ["list", "chunk"], sets, percent, n_parts, "jaccard-edges")
+    same = materialize(_one_id(rows, classes), "jaccard-ids")
+    components = connected_components(edges.unionByName(same))
+    more = None
     if large.limit(1).count():
-        steps = [_leaders_of_chunks, _refuted, _open_chunks, _refuted]
-    for step in steps:
-        while True:
-            asked = materialize(_unknown(step(chunked, verdicts, classes, found, percent, n_parts), verdicts), "jaccard-asked")
-            more = materialize(_checked(asked.where("linked is null").drop("linked"), sets, percent), "jaccard-verdicts")
-            verdicts = verdicts.unionByName(more).unionByName(asked.where("linked is not null"))
-            if not more.where("linked").limit(1).count():
-                break
-            found = materialize(connected_components(verdicts.where("linked").select("a", "b")), "jaccard-components")
-    return _label(rows, classes, found, id_col)
-
-
-def _walked(rows: DataFrame, key: list[str], percent: int, n_parts: int) -> DataFrame:
-    """Candidate pairs of the lists that ``key`` tells apart."""
-    walk = F.concat(*(F.coalesce(F.col(k).cast("string").cast("binary") if k != "list" else F.col(k), F.lit(b"")) for k in key))
-    keyed = rows.select(walk.alias("walk"), "id", "n", "map")
-    pairs = keyed.repartition(n_parts, "walk").sortWithinPartitions("walk", "n", "id").mapInArrow(_candidates(percent), _PAIR)
-    return pairs.groupBy("a", "b").agg(F.max("lead").alias("lead"))
-
-
-def _unknown(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """What ``pairs`` add to the verdicts, with the verdict where the sets have been checked: pairs that
-    have not, and leaders of pairs that have.  A leader stays first, so that ``_refuted`` finds its matches."""
-    least, greatest = F.least("a", "b"), F.greatest("a", "b")
-    turned = pairs.select(F.when(F.col("lead"), F.col("a")).otherwise(least).alias("a"), F.when(F.col("lead"), F.col("b")).otherwise(greatest).alias("b"), "lead").distinct()
-    known = verdicts.groupBy(least.alias("lo"), greatest.alias("hi")).agg(F.max("linked").alias("linked"))
-    met = turned.withColumns({"lo": least, "hi": greatest}).join(known, ["lo", "hi"], "left").where("linked is null or lead")
-    return met.join(verdicts.where("lead").select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "lead", "linked")
-
-
-def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
-    return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def _refuted(chunked, verdicts, classes, found, percent, n_parts):
-    """Refuted matches of a leader meet its other matches, unless they are connected by now."""
-    star = verdicts.where("lead").select(F.col("a").alias("leader"), F.col("b").alias("id"), "linked")
-    named = _named(star, found).join(classes.select("id", "n"), "id")
-    one, two = (named.select("leader", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "linked", "component", "n"))) for s in ("a", "b"))
-    again = one.where("not linked_a").join(two, "leader").where("component_a <> component_b and (linked_b or id_a < id_b)")
-    return again.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(False).alias("lead"))
-
-
-def _several(chunked, found):
-    """Members of split lists that still lie in more than one component."""
-    named = _named(chunked.where(F.col("size") > CHUNK).select("list", "chunk", "size", "id", "n", "map"), found)
-    mixed = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return named.join(mixed, "list", "left_semi")
-
-
-def _leaders_of_chunks(chunked, verdicts, classes, found, percent, n_parts):
-    """One set of each component of a split list meets those of the other components."""
-    leaders = _several(chunked, found).groupBy("list", "component").agg(F.min(F.struct("n", "id", "map")).alias("x"))
-    sized = leaders.join(leaders.groupBy("list").agg(F.count("*").alias("size")), "list")
-    # Beyond a chunk the leaders walk in chunks themselves; the next round takes what is left.
-    chunk = F.pmod(F.xxhash64("component"), F.ceil(F.col("size") / (CHUNK / 2)))
-    return _walked(sized.select("list", chunk.alias("chunk"), "x.*"), ["list", "chunk"], percent, n_parts)
-
-
-def _open_chunks(chunked, verdicts, classes, found, percent, n_parts):
-    """What leaders could not settle: each two chunks of such a list are walked together."""
-    rest = _several(chunked, found)
-    last = F.ceil(F.col("size") / (CHUNK / 2)).cast("int") - 1
-    other = rest.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    pair = other.select("list", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), F.lit("-").alias("dash"), "id", "n", "map", "component")
-    return _walked(pair.where("lo < hi"), ["list", "lo", "dash", "hi"], percent, n_parts)
+        components = materialize(components, "jaccard-components")
+        more = _walked(_open(chunked.where("chunks > 1"), components), ["list", "block", "chunk"], sets, percent, n_parts, "jaccard-more")
+        components = connected_components(edges.unionByName(same).unionByName(more))
+    out = materialize(_label(rows, classes, components, id_col), "jaccard-result")
+    discard(spark, scanned, classes, first, members, sets, large, edges, same, *([more] if more is not None else []))
+    return out
+
+
+def _one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between classes that rows of one id belong to."""
+    several = rows.where("sig is not null and id is not null").groupBy("id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi")
+    named = rows.join(several.select("id"), "id", "left_semi").join(classes.select("sig", F.col("id").alias("a")), "sig")
+    return named.select("a", F.col("id").alias("b"))
+
+
+def _open(chunked: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of the walks that compare what split lists leave in several components: each member outside the largest
+    component of its list with all of the list, in blocks like the chunks."""
+    named = chunked.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    sizes = named.groupBy("list", "group").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    most = sizes.groupBy("list").agg(F.max(F.struct("size", "group")).alias("top"), F.sum("size").alias("all"), F.sum("shingles").alias("whole"), F.max_by("shingles", F.struct("size", "group")).alias("own"))
+    most = most.where("all > top.size").select("list", F.col("top.group").alias("top"), F.greatest(F.ceil((F.col("all") - F.col("top.size")) / MEMBERS), F.ceil((F.col("whole") - F.col("own")) / SHINGLES)).cast("int").alias("blocks"))
+    met = named.join(most, "list").withColumn("outside", F.col("group") != F.col("top"))
+    outside, own = met.where("outside"), F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    asks = outside.select("list", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sig", "id", "group", F.lit(True).alias("wanted"))
+    answers = met.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "chunk", "sig", "id", "group", F.lit(False).alias("wanted"))
+    # A member of a block is not needed once more as an answer to itself.
+    again = outside.select("list", own.alias("block"), "chunk", "sig")
+    return asks.unionByName(answers.join(again, ["list", "block", "chunk", "sig"], "left_anti"))
 
 
 def _label(rows: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
