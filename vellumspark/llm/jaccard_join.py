@@ -10,6 +10,8 @@
   member that no other can reach is skipped.  Lists with the same smallest
   member (by signature), and then those with one leader, are walked as one
   list of all their members.
+* Bitmaps: parities of a set's shingles in n cells or so bound what two sets
+  share.  Members of a list that they leave no partner take no part in its walk.
 * Answers from a similar set: a walk has the sets of its list and finds for a
   set its overlaps with all others of the list.  If a set X is close to a set L
   whose overlaps are known, those of X are L's, less the lists of the shingles
@@ -97,6 +99,46 @@ def signature(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def bitmap_bits(n: int) -> int:
+    return min(1 << 16, max(64, 1 << max(0, int(n) - 1).bit_length()))
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of ``bitmap_bits`` cells."""
+    bits = bitmap_bits(len(shingles))
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(map_: bytes, size: int) -> np.ndarray:
+    """A bitmap folded to ``size`` bytes; parities add up."""
+    return np.bitwise_xor.reduce(np.frombuffer(map_, np.uint8).reshape(-1, size), axis=0)
+
+
+def partnered(sizes: np.ndarray, maps: list[bytes], percent: int) -> np.ndarray:
+    """Which members of a list, in order of size, the bitmaps leave a possible partner: sets of n and m shingles
+    that differ in h cells share (n + m - h) / 2 at most."""
+    found = np.zeros(len(sizes), bool)
+    reach = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+    at: dict[int, np.ndarray] = {}
+    for k in range(len(sizes)):
+        block = np.arange(k + 1, reach[k])
+        if found[k]:
+            block = block[~found[block]]
+        if not len(block):
+            continue
+        width = len(maps[k])
+        if width not in at:
+            at = {width: np.stack([fold(m, width) if len(m) >= width else np.zeros(width, np.uint8) for m in maps])}
+        n, m = int(sizes[k]), sizes[block]
+        h = np.bitwise_count(at[width][block] ^ at[width][k]).sum(1, dtype=np.int64)
+        shared = np.minimum((n + m - h) // 2, n)
+        match = block[100 * shared >= percent * (n + m - shared)]
+        if len(match):
+            found[k] = found[match] = True
+    return found
+
+
 class Walk:
     """The sets of one list; ``edges`` connects what links between them connect.
 
@@ -163,13 +205,13 @@ class Walk:
 # --------------------------------------------------------------------------
 # Passes over the documents
 
-_SCAN = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("shingle", T.LongType()), T.StructField("times", T.LongType())])
+_SCAN = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("map", T.BinaryType()), T.StructField("shingle", T.LongType()), T.StructField("times", T.LongType())])
 
 
 def _scan(width: int):
-    """Size and signature of each document's set; shingles that several
+    """Size, signature and bitmap of each document's set; shingles that several
     different sets of one pack hold, with how many."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("map", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
 
     def heavy(held):
         if held:
@@ -177,7 +219,7 @@ def _scan(width: int):
             often = times >= 3
             k = int(often.sum())
             none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.binary()), pa.array(shingles[often].view(np.int64)), pa.array(times[often], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(shingles[often].view(np.int64)), pa.array(times[often], pa.int64())], schema=schema)
 
     def run(batches):
         seen: set[bytes] = set()
@@ -189,7 +231,7 @@ def _scan(width: int):
                 sets = [shingles[edges[j] : edges[j + 1]] for j in range(k)]
                 sigs = [signature(s) if len(s) else None for s in sets]
                 none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(edges)), pa.array(sigs, pa.binary()), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, k), pa.array(np.diff(edges)), pa.array(sigs, pa.binary()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), none, none], schema=schema)
                 for sig, own in zip(sigs, sets):
                     if sig is not None and sig not in seen:
                         seen.add(sig)
@@ -324,6 +366,40 @@ def _lists(percent: int):
     return run
 
 
+_MEMBER = T.StructType([T.StructField("list", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("chunks", T.IntegerType())])
+
+
+def _partnered(percent: int):
+    """The members of each list, of (list, n, sig, id, map) rows in that order, that may have a partner there."""
+    schema = pa.schema([("list", pa.binary()), ("sig", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("chunks", pa.int32())])
+
+    def run(batches):
+        out, current, held = [], None, []
+
+        def flush():
+            if len(held) > 1:
+                kept = np.flatnonzero(partnered(np.array([r[0] for r in held], np.int64), [r[3] for r in held], percent))
+                out.extend((current, held[k][1], held[k][2], held[k][0], 1) for k in kept.tolist())
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if key != current:
+                    flush()
+                    current, held = key, []
+                held.append(row)
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out.clear()
+        flush()
+        if out:
+            yield batch_of(out)
+
+    return run
+
+
 _SET = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
 
@@ -386,7 +462,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     scanned = materialize(texts.mapInArrow(_scan(width), _SCAN), "jaccard-scan")
-    rows = scanned.where("n is not null").select("id", "n", "sig")
+    rows = scanned.where("n is not null").select("id", "n", "sig", "map")
     counted = scanned.where("n is null").groupBy("shingle").agg(F.sum("times").alias("times"))
     top = counted.orderBy(F.desc("times"), "shingle").limit(HEAVY).collect()  # at most HEAVY rows
     keys = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
@@ -395,23 +471,27 @@ def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
     heavy = spark.sparkContext.broadcast((keys[by], ranks[by]))
 
     # A class is named by its least id; rows of one id hold several classes together.
-    classes = materialize(rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
+    classes = materialize(rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("map").alias("map")), "jaccard-classes")
     packs = texts.mapInArrow(_index(width, percent, 4 * n_parts, heavy), _PACK)
     lists = packs.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists(percent), _LIST)
-    first = materialize(lists.distinct().join(classes, "sig").select("list", "sig", "id", "n"), "jaccard-members")
+    first = materialize(lists.distinct().join(classes, "sig").select("list", "sig", "n"), "jaccard-members")
     # Once more, now that lists are long: those with one leader are walked as one.
     leads = first.groupBy("list").agg(F.min(F.struct("n", "sig")).alias("lead"))
-    led = first.join(leads.hint("merge"), "list").select(F.col("lead.sig").alias("list"), "sig", "id", "n")
-    members = materialize(led.dropDuplicates(["list", "sig"]), "jaccard-lists")
+    led = first.join(leads.hint("merge"), "list").select(F.col("lead.sig").alias("list"), "sig", "n").dropDuplicates(["list", "sig"])
+    second = materialize(led, "jaccard-lists")
+    whole = second.groupBy("list").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("chunks"))
+    large = materialize(whole.where("chunks > 1"), "jaccard-large")  # few: each has MEMBERS sets or SHINGLES shingles
+    # In other lists, only members that the bitmaps leave a partner take their sets along.
+    mapped = second.join(large, "list", "left_anti").join(classes.select("sig", "id", "map").hint("merge"), "sig").select("list", "n", "sig", "id", "map")
+    small = mapped.repartition(n_parts, "list").sortWithinPartitions("list", "n", "sig").mapInArrow(_partnered(percent), _MEMBER)
+    split = second.join(large, "list").join(classes.select("sig", "id"), "sig").select("list", "sig", "id", "n", "chunks")
+    members = materialize(small.unionByName(split), "jaccard-partnered")
 
     # The sets that some list asks for.
     needed = members.select("id").distinct()
     found = texts.join(needed.hint("merge"), "id", "left_semi").select("text").mapInArrow(_sets(width), _SET)
-    sets = materialize(found.dropDuplicates(["sig"]), "jaccard-sets")
-
-    whole = members.groupBy("list").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("chunks"))
-    large = materialize(whole.where("chunks > 1"), "jaccard-large")  # few: each has MEMBERS sets or SHINGLES shingles
-    chunked = members.join(large, "list", "left").fillna(1, ["chunks"]).withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
+    sets = materialize(found.join(members.select("sig").distinct().hint("merge"), "sig", "left_semi").dropDuplicates(["sig"]), "jaccard-sets")
+    chunked = members.withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
     alone = chunked.withColumns({"group": F.xxhash64("sig"), "wanted": F.lit(True)})
     edges = _walked(alone, ["list", "chunk"], sets, percent, n_parts, "jaccard-edges")
     same = materialize(_one_id(rows, classes), "jaccard-ids")
@@ -422,7 +502,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
         more = _walked(_open(chunked.where("chunks > 1"), components), ["list", "block", "chunk"], sets, percent, n_parts, "jaccard-more")
         components = connected_components(edges.unionByName(same).unionByName(more))
     out = materialize(_label(rows, classes, components, id_col), "jaccard-result")
-    discard(spark, scanned, classes, first, members, sets, large, edges, same, *([more] if more is not None else []))
+    discard(spark, scanned, classes, first, second, members, sets, large, edges, same, *([more] if more is not None else []))
     return out
 
 
