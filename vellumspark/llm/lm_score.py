@@ -1,27 +1,20 @@
 """Language-model scores from a causal self-attention model over subword ids.
 
-Texts are cut into subword ids of a public vocabulary and, with an end id
-before and after, into context windows of ``CONTEXT + STRIDE`` inputs that
-overlap by ``CONTEXT``: each window scores the targets of its last ``STRIDE``
-inputs, so each id is scored once, by batched attention under a causal mask.
-
-The model gives the class of the next id, and an id's share of its class by
-counts after the two ids before it, backed off to one and to none.  Class scores
-add up (a) the log of smoothed counts of (input id, next class) pairs and (b) a
-one-head causal self-attention block with a hidden layer.  Counts are taken over
-all training texts; of the cells of two and three ids the most frequent are
-kept, up to a fixed number (cells that a partition has met less than
-``LEAST`` times don't count).  The block is trained
-by Adam in numpy, on every ``SAMPLE``-th window of the training texts (by hash,
-so the sample grows with them), on all partitions at once; their weights are
-averaged after each of ``ROUNDS`` rounds, by groups before the driver sums.
+The model's text is the sequence of tokens that the base score has as well: words in lower case (A-Z), each after a
+space, and one end.  Words are cut into subword ids of a public vocabulary; the ids of a text fall into context windows
+that overlap, and each id is scored once, by batched attention under a causal mask (see ``attention``).
+
+Counts of ids in all training texts give the classes and first biases.  The block, its embeddings and its output vectors
+are trained by Adam on every window of every training text, on all partitions at once: texts are dealt by hash to rounds
+of growing size, each text to one, and after a round the partitions' weights are averaged by the ids they have seen, by
+groups before the driver sums.  Embeddings and output vectors grow with the ids the corpus has, up to the vocabulary.
 
 The base score is that of add-0.1 unigrams of words (see ``unigram``).
 
-Defined cases: null text is empty and scores its end alone; rows with a null id
-train; without training rows all counts are 0 and the model is uniform over
-classes; repeated rows give repeated results; an empty table gives an empty
-result; extra columns are ignored.
+Defined cases: null text is empty and scores its end alone; rows with a null id train; without training rows all counts
+are 0, and the model is uniform but for its first weights; very long texts go through batch by batch; ids of equal counts
+are ordered by number; repeated rows give repeated results; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,36 +28,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, materialize, mix, parts
-from .token_counts import CHUNK, OTHER_SPACE, ChunkMemo, encoding, tokenizer_files
+from .attention import Adam, Block, Stream, Vocabulary, Weights, cut_blocks, first_weights
+from .common import discard, held_out, materialize
+from .token_counts import encoding, tokenizer_files
 from .unigram import SMOOTHING, unigram_sums
 
 VOCABULARY, END = 50_257, 50_256
-#: Input ids told apart, classes of next ids, widths of the block.
-INPUTS, CLASSES, SINGLE = 2048, 16, 8
-WIDTH, HIDDEN = 16, 32
-CONTEXT, STRIDE = 8, 24
-SAMPLE, ROUNDS, BATCH, RATE = 48, 2, 64, 0.004
-PAIR_SMOOTHING, ID_SMOOTHING = 8.0, 0.1
-#: Cells of two and three ids that are kept, and the weight of the shorter context.
-CELLS, LEAST, BACK_OFF = {2: 1 << 18, 3: 1 << 21}, {2: 1, 3: 3}, {2: 3.0, 3: 15.0}
+#: Blocks of one training step and of one scoring pass.
+BATCH, PASS = 128, 192
+#: Of every 16 hash values of texts, those that each round trains on, and its rate.
+ROUNDS = (((0,), 0.01), ((1, 2, 3), 0.01), ((4, 5, 6, 7), 0.007), (tuple(range(8, 16)), 0.005))
+#: Ids that a training task has at least: fewer would leave its weights near where they began.
+TASK_IDS = 3_000_000
+#: Words whose ids one Python worker remembers, and the longest of them in bytes.
+MEMO_WORDS, MEMO_LENGTH = 300_000, 48
 
 
 # --------------------------------------------------------------------------
 # Subword ids
 
 
-@lru_cache(maxsize=2)
-def _id_memo(ranks_path: str) -> ChunkMemo:
-    encode = encoding(ranks_path).encode_ordinary
-    return ChunkMemo(lambda chunk: array("H", encode(chunk)).tobytes())
+class _WordIds(dict):
+    """Ids of each word after a space, made on first sight; forgets all when full."""
+
+    def __init__(self, ranks_path: str):
+        super().__init__()
+        self.encode = encoding(ranks_path).encode_ordinary
+
+    def __missing__(self, word: bytes) -> bytes:
+        value = array("H", self.encode(" " + word.decode())).tobytes()
+        if len(word) <= MEMO_LENGTH:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
+@lru_cache(maxsize=1)
+def _memo(ranks_path: str) -> _WordIds:
+    return _WordIds(ranks_path)
 
 
 def subword_ids(text: str, ranks_path: str) -> bytes:
-    memo = _id_memo(ranks_path)
-    if not text.isascii() and OTHER_SPACE.search(text):
-        return memo.make(text)
-    return b"".join(map(memo.__getitem__, CHUNK.findall(text)))
+    """16-bit ids of a text's words.  Both methods of ``bytes`` are about ASCII alone."""
+    return b"".join(map(_memo(ranks_path).__getitem__, text.encode().lower().split()))
 
 
 _IDS = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("train", T.BooleanType()), T.StructField("ids", T.BinaryType())])
@@ -81,423 +88,129 @@ def _encode(ranks_path: str):
     return run
 
 
-_CELLS = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
+_COUNT = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
-def _counts(size: int, cells):
-    """Counts of whatever cells ``cells`` makes of each training text's ids."""
-
-    def run(batches):
-        _id_memo.cache_clear()  # the worker encodes no more
-        total, held, some = np.zeros(size, np.int64), [], 0
-        for batch in batches:
-            for train, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if train:
-                    held.append(cells(np.frombuffer(ids, np.uint16)))
-                    some += len(held[-1])
-                    if some > 1 << 20:
-                        total += np.bincount(np.concatenate(held), minlength=size)
-                        held, some = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
-
-    return run
+def _counts(batches):
+    """Counts of the ids of a partition, ends included."""
+    _memo.cache_clear()  # the worker encodes no more
+    total = np.zeros(VOCABULARY, np.int64)
+    for batch in batches:
+        for ids in batch.column(0):
+            total += np.bincount(np.frombuffer(ids.as_buffer(), np.uint16), minlength=VOCABULARY)
+            total[END] += 1
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["id", "n"])
 
 
-def _counted(encoded: DataFrame, size: int, cells) -> np.ndarray:
-    """Summed counts; at most ``size`` rows reach the driver."""
-    out = np.zeros(size, np.int64)
-    rows = encoded.where("train").select("train", "ids").mapInArrow(_counts(size, cells), _CELLS)
-    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[r["cell"]] = r["n"]
+def id_counts(encoded: DataFrame) -> np.ndarray:
+    out = np.zeros(VOCABULARY, np.int64)
+    for r in encoded.where("train").select("ids").mapInArrow(_counts, _COUNT).groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most VOCABULARY rows
+        out[r["id"]] = r["n"]
     return out
 
 
-class Vocabulary:
-    """Input numbers, classes and shares of ids, from their training counts."""
-
-    def __init__(self, counts: np.ndarray):
-        order = np.lexsort((np.arange(len(counts)), -counts))
-        rank = np.empty(len(counts), np.int64)
-        rank[order] = np.arange(len(counts))
-        self.inputs = np.minimum(rank, INPUTS - 1).astype(np.int16)
-        # The most frequent ids are classes of their own; the others share the rest by mass.
-        smooth = counts + ID_SMOOTHING
-        tail = np.cumsum(smooth[order[SINGLE:]])
-        shared = SINGLE + np.minimum((tail - smooth[order[SINGLE:]]) * (CLASSES - SINGLE) // tail[-1], CLASSES - SINGLE - 1).astype(np.int64)
-        self.classes = np.empty(len(counts), np.int16)
-        self.classes[order] = np.concatenate([np.arange(SINGLE), shared])
-        mass = np.bincount(self.classes, weights=smooth, minlength=CLASSES)
-        self.share = np.log(smooth / mass[self.classes])
-        self.prior = mass / mass.sum()
-
-
-class Shares:
-    """Shares of ids in their classes after the ids before them."""
-
-    def __init__(self, vocabulary: Vocabulary, cells: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.vocabulary, self.tables = vocabulary, {}
-        for n, (keys, counts) in cells.items():
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order].astype(np.float64)
-            # What a context has of a class is the sum of its kept cells, so shares add up to 1.
-            owner = (keys >> np.uint64(16)) * np.uint64(CLASSES) + vocabulary.classes[(keys & np.uint64(0xFFFF)).astype(np.int64)].astype(np.uint64)
-            names, code = np.unique(owner, return_inverse=True)
-            self.tables[n] = (keys, counts.astype(np.float32), names, np.bincount(code, weights=counts, minlength=len(names)).astype(np.float32))
-
-    @staticmethod
-    def _look(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(asked), np.float32)
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        return np.where(keys[at] == asked, values[at], 0)
-
-    def logs(self, before: np.ndarray, last: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log share of each target after the ids ``before`` and ``last``."""
-        v = self.vocabulary
-        out = np.zeros(len(target))
-        some = np.flatnonzero(v.classes[target] >= SINGLE)  # others are alone in their class
-        before, last, target = (x[some].astype(np.uint64) for x in (before, last, target))
-        classes = v.classes[target.astype(np.int64)].astype(np.uint64)
-        share = np.exp(v.share[target.astype(np.int64)])
-        for n, context in ((2, last), (3, before << np.uint64(16) | last)):
-            keys, counts, names, sums = self.tables[n]
-            of_id = self._look(keys, counts, context << np.uint64(16) | target)
-            of_class = self._look(names, sums, context * np.uint64(CLASSES) + classes)
-            share = (of_id + BACK_OFF[n] * share) / (of_class + BACK_OFF[n])
-        out[some] = np.log(share)
-        return out
-
-
-def _contexts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The two ids before each target, and the targets."""
-    full = np.concatenate([np.array([END, END], np.uint16), ids, np.array([END], np.uint16)])
-    return full[:-2], full[1:-1], full[2:]
-
-
-_KEYS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
-
-
-def _cell_batches(n: int):
-    """Counts of n ids in a row over the training texts of a partition."""
-
-    def merged(parts_):
-        keys = np.concatenate([k for k, _ in parts_])
-        order = np.argsort(keys)
-        keys, counts = keys[order], np.concatenate([c for _, c in parts_])[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(counts, first)
-
-    def run(batches):
-        held, size, done = [], 0, []
-        for batch in batches:
-            for train, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if train:
-                    before, last, target = (x.astype(np.uint64) for x in _contexts(np.frombuffer(ids, np.uint16)))
-                    context = last if n == 2 else before << np.uint64(16) | last
-                    held.append(context << np.uint64(16) | target)
-                    size += len(target)
-                    if size > 1 << 20:
-                        done.append(np.unique(np.concatenate(held), return_counts=True))
-                        held, size = [], 0
-                        if sum(len(k) for k, _ in done) > max(2 << 20, 2 * len(done[0][0])):
-                            done = [merged(done)]
-        if held:
-            done.append(np.unique(np.concatenate(held), return_counts=True))
-        if done:
-            keys, counts = merged(done)
-            often = counts >= LEAST[n]
-            keys, counts = keys[often].view(np.int64), counts[often]
-            for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(counts[a : a + 100_000])], names=["key", "n"])
-
-    return run
-
-
-def frequent_cells(encoded: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent cells of n ids, at most ``CELLS[n]``, and their counts."""
-    counted = encoded.where("train").select("train", "ids").mapInArrow(_cell_batches(n), _KEYS).groupBy("key").agg(F.sum("n").alias("n"))
-    counted = materialize(counted, "lm-cells")
-    # The least count whose cells, and all more frequent ones, fit.
-    sizes = counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-    least, total = 1 << 62, 0
-    for r in sizes:
-        total += r["count"]
-        if total > CELLS[n]:
-            break
-        least = r["n"]
-    table = counted.where(F.col("n") >= least).toArrow()  # at most CELLS[n] rows
-    return table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
-
-
-def sequences(ids: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and targets: the end id stands before and after a text."""
-    end = np.array([END], np.uint16)
-    return vocabulary.inputs[np.concatenate([end, ids])], np.concatenate([ids, end])
-
-
-def windows(inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, number of left pads): rows of CONTEXT + STRIDE inputs."""
-    n = -(-len(inputs) // STRIDE)
-    padded = np.zeros(CONTEXT + n * STRIDE, np.int16)
-    padded[CONTEXT : CONTEXT + len(inputs)] = inputs
-    rows = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + STRIDE)[::STRIDE]
-    pads = np.zeros(n, np.int64)
-    pads[0] = CONTEXT
-    return rows, pads
-
-
 # --------------------------------------------------------------------------
-# The model
-
-Weights = dict[str, np.ndarray]
-_SHAPES = {"E": (INPUTS, WIDTH), "P": (CONTEXT + STRIDE, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "W": (WIDTH, HIDDEN), "c": (HIDDEN,), "U": (HIDDEN, CLASSES), "b": (CLASSES,)}
-
-
-def first_weights(seed: int = 0) -> Weights:
-    rng = np.random.default_rng(seed)
-    scale = {"E": 0.5, "P": 0.2, "Q": WIDTH**-0.5, "K": WIDTH**-0.5, "V": WIDTH**-0.5, "W": WIDTH**-0.5, "c": 0.0, "U": 0.0, "b": 0.0}
-    return {k: (scale[k] * rng.standard_normal(shape)).astype(np.float32) for k, shape in _SHAPES.items()}
-
+# Distributed training and scoring
 
-def pack_weights(weights: Weights) -> bytes:
-    return b"".join(weights[k].astype(np.float32).tobytes() for k in _SHAPES)
+_STATE = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("state", T.BinaryType())])
+_STATE_ARROW = pa.schema([("slot", pa.int32()), ("weight", pa.float64()), ("state", pa.binary())])
 
 
-def unpack_weights(data: bytes | np.ndarray) -> Weights:
-    flat, out, at = np.frombuffer(data, np.float32) if isinstance(data, bytes) else data, {}, 0
-    for k, shape in _SHAPES.items():
-        size = int(np.prod(shape))
-        out[k] = flat[at : at + size].reshape(shape).astype(np.float32)
-        at += size
-    return out
+def _state_batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, _STATE_ARROW)], schema=_STATE_ARROW)
 
 
-def causal_mask() -> np.ndarray:
-    key, query = np.arange(CONTEXT + STRIDE), np.arange(CONTEXT, CONTEXT + STRIDE)
-    return np.where(key[None, :] <= query[:, None], 0.0, -1e9).astype(np.float32)
-
-
-_MASK = causal_mask()
-_ROOT = np.float32(WIDTH**-0.5)
-
-
-def _masked(scores: np.ndarray, pads: np.ndarray) -> np.ndarray:
-    scores += _MASK
-    begin = np.flatnonzero(pads)
-    if len(begin):
-        # Only the first window of a text has pads, and then CONTEXT of them.
-        scores[begin, :, :CONTEXT] = -1e9
-    scores -= scores.max(2, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(2, keepdims=True)
-    return scores
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(-1, keepdims=True)
-    np.exp(logits, out=logits)
-    return logits / logits.sum(-1, keepdims=True)
-
-
-def gradients(w: Weights, pairs: np.ndarray, x: np.ndarray, pads: np.ndarray, y: np.ndarray, valid: np.ndarray) -> tuple[float, Weights]:
-    """Mean loss over valid targets and its gradients, for windows x with classes y."""
-    e = w["E"][x] + w["P"]
-    ahead = e[:, CONTEXT:]
-    q, k, v = ahead @ w["Q"], e @ w["K"], e @ w["V"]
-    a = _masked((q @ k.transpose(0, 2, 1)) * _ROOT, pads)
-    h = ahead + a @ v
-    z = np.maximum(h @ w["W"] + w["c"], 0)
-    p = _softmax(pairs[x[:, CONTEXT:]] + z @ w["U"] + w["b"])
-    n = max(1, int(valid.sum()))
-    chosen = np.take_along_axis(p, y[..., None].astype(np.int64), 2)[..., 0]
-    loss = float(-(np.log(np.maximum(chosen, 1e-30)) * valid).sum() / n)
-    d = p
-    np.put_along_axis(d, y[..., None].astype(np.int64), chosen[..., None] - 1, 2)
-    d *= (valid / n).astype(np.float32)[..., None]
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g: Weights = {"U": flat(z).T @ flat(d), "b": flat(d).sum(0)}
-    dz = (d @ w["U"].T) * (z > 0)
-    g["W"], g["c"] = flat(h).T @ flat(dz), flat(dz).sum(0)
-    dh = dz @ w["W"].T
-    da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * _ROOT
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["Q"], g["K"], g["V"] = flat(ahead).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dk @ w["K"].T + dv @ w["V"].T
-    de[:, CONTEXT:] += dh + dq @ w["Q"].T
-    g["P"] = de.sum(0)
-    g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], x.reshape(-1), flat(de))
-    return loss, g
-
-
-class Adam:
-    def __init__(self, weights: Weights, rate: float = RATE):
-        self.w, self.rate, self.t = weights, rate, 0
-        self.m = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.s = {k: np.zeros_like(v) for k, v in weights.items()}
-
-    def step(self, g: Weights) -> None:
-        self.t += 1
-        for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.s[k] += 0.01 * (x * x - self.s[k])
-            m, s = self.m[k] / (1 - 0.9**self.t), self.s[k] / (1 - 0.99**self.t)
-            self.w[k] -= (self.rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
-
-
-class Scorer:
-    """Log chances of target ids, with the products of small tables made once."""
-
-    def __init__(self, w: Weights, pairs: np.ndarray, shares: Shares):
-        self.w, self.pairs, self.shares, self.vocabulary = w, pairs + w["b"], shares, shares.vocabulary
-        self.q, self.k, self.v = (w["E"] @ w[n] for n in "QKV")
-        self.pq, self.pk, self.pv = (w["P"] @ w[n] for n in "QKV")
-        # A column of ones beside the values sums the attention weights.
-        self.v = np.concatenate([self.v, np.ones((len(self.v), 1), np.float32)], 1)
-        self.pv = np.concatenate([self.pv, np.zeros((len(self.pv), 1), np.float32)], 1)
-        self.ones = np.ones(CLASSES, np.float32)
-
-    def classes(self, x: np.ndarray, pads: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Log chance of class y of each of a window's last STRIDE inputs."""
-        ahead, begin = x[:, CONTEXT:], np.flatnonzero(pads)
-        q = (self.q[ahead] + self.pq[CONTEXT:]) * _ROOT
-        a = q @ (self.k[x] + self.pk).transpose(0, 2, 1)
-        a += _MASK
-        a[begin, :, :CONTEXT] = -1e9
-        if a.max(initial=0) > 60:
-            a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        mixed = a @ (self.v[x] + self.pv)
-        h = self.w["E"][ahead] + self.w["P"][CONTEXT:] + mixed[..., :WIDTH] / mixed[..., WIDTH:]
-        z = np.maximum(h.reshape(-1, WIDTH) @ self.w["W"] + self.w["c"], 0)
-        logits = z @ self.w["U"]
-        logits += self.pairs.take(ahead.reshape(-1), axis=0)
-        if logits.max(initial=0) > 60:
-            logits -= logits.max(1, keepdims=True)
-        chosen = logits[np.arange(len(logits)), y.reshape(-1)]
-        np.exp(logits, out=logits)
-        return (chosen - np.log(logits @ self.ones)).reshape(y.shape)
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 chance of each text's ids and its end."""
-        v = self.vocabulary
-        xs, ps, ys, vs, of, triples = [], [], [], [], [], []
-        total = np.zeros(len(texts))
-        for k, data in enumerate(texts):
-            ids = np.frombuffer(data, np.uint16)
-            inputs, targets = sequences(ids, v)
-            triples.append(_contexts(ids))
-            x, pads = windows(inputs)
-            y = np.zeros(x.shape[0] * STRIDE, np.int16)
-            y[: len(targets)] = v.classes[targets]
-            valid = np.arange(len(y)) < len(targets)
-            xs.append(x)
-            ps.append(pads)
-            ys.append(y.reshape(-1, STRIDE))
-            vs.append(valid.reshape(-1, STRIDE))
-            of.append(np.full(len(x), k))
-        if texts:
-            x, pads, y, valid, of = (np.concatenate(c) for c in (xs, ps, ys, vs, of))
-            for a in range(0, len(x), 256):
-                own = slice(a, a + 256)
-                logs = (self.classes(x[own], pads[own], y[own]).astype(np.float64) * valid[own]).sum(1)
-                np.add.at(total, of[own], logs)
-            owner = np.repeat(np.arange(len(texts)), [len(t[2]) for t in triples])
-            total += np.bincount(owner, weights=self.shares.logs(*(np.concatenate(c) for c in zip(*triples))), minlength=len(texts))
-        return total / np.log(10)
+def pack_weights(w: Weights) -> bytes:
+    return b"".join(w[k].astype(np.float32).tobytes() for k in sorted(w))
 
 
-# --------------------------------------------------------------------------
-# Distributed training and scoring
+def unpack_weights(state, vocabulary: Vocabulary) -> Weights:
+    flat, at, w = np.array(np.frombuffer(state, np.float32)), 0, {}
+    shapes = {k: v.shape for k, v in first_weights(vocabulary).items()}
+    for k in sorted(shapes):
+        size = int(np.prod(shapes[k]))
+        w[k], at = flat[at : at + size].reshape(shapes[k]), at + size
+    return w
 
-_STATE = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("weight", T.DoubleType()), T.StructField("loss", T.DoubleType()), T.StructField("state", T.BinaryType())])
 
-
-def _state_batch(rows):
-    columns = list(zip(*rows)) if rows else [[]] * 4
-    kinds = [pa.int32(), pa.float64(), pa.float64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_STATE.fieldNames())
+def blocks_of(ids, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, y, first = cut_blocks(np.frombuffer(ids, np.uint16), END)
+    return vocabulary.place[x], y, first
 
 
-def _train(shared, slots: int):
-    """Trains on the sampled windows of a partition; yields its weights."""
+def _train(shared, rate: float, slots: int):
+    """Trains on all texts of a partition; yields its weights and how many ids they have learned from."""
 
     def run(batches):
-        state, pairs, vocabulary = shared.value
-        adam, seen, losses = Adam(unpack_weights(state)), 0, 0.0
-        held, size, slot = [], 0, 0
+        state, vocabulary = shared.value
+        adam, stream, seen, slot = Adam(unpack_weights(state, vocabulary), rate), Stream(BATCH), 0, 0
 
-        def learn():
-            x, pads, y, valid = (np.concatenate(c) for c in zip(*held))
-            loss, g = gradients(adam.w, pairs, x, pads, y, valid)
-            adam.step(g)
-            return loss, len(x)
+        def learn(batch):
+            _, x, y, first, lead = batch
+            n = int((y >= 0).sum())
+            if n:
+                adam.step(Block(adam.w, vocabulary, x, first, lead).logs(y, gradient=True)[1])
+            return n
 
         for batch in batches:
-            for h, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                inputs, targets = sequences(np.frombuffer(ids, np.uint16), vocabulary)
-                n = -(-len(inputs) // STRIDE)
-                own = np.flatnonzero(mix(np.uint64(h & (2**64 - 1)) + np.arange(n, dtype=np.uint64)) % np.uint64(SAMPLE) == 0)
+            for h, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 slot ^= h & 0x7FFF
-                if not len(own):
-                    continue
-                x, pads = windows(inputs)
-                y = np.zeros(n * STRIDE, np.int16)
-                y[: len(targets)] = vocabulary.classes[targets]
-                valid = np.arange(n * STRIDE) < len(targets)
-                held.append((x[own], pads[own], y.reshape(n, STRIDE)[own], valid.reshape(n, STRIDE)[own]))
-                size += len(own)
-                if size >= BATCH:
-                    loss, k = learn()
-                    losses, seen, held, size = losses + loss * k, seen + k, [], 0
-        if held:
-            loss, k = learn()
-            losses, seen = losses + loss * k, seen + k
+                for full in stream.add(0, *blocks_of(ids.as_buffer(), vocabulary)):
+                    seen += learn(full)
+        for last in stream.rest():
+            seen += learn(last)
         if seen:
-            yield _state_batch([(slot % slots, float(seen), losses, pack_weights(adam.w))])
+            yield _state_batch([(slot % slots, float(seen), pack_weights(adam.w))])
 
     return run
 
 
 def _average(batches):
-    """Weighted sums of the states of each slot."""
+    """Weighted means of the states of each slot."""
     sums: dict[int, list] = {}
     for batch in batches:
-        for slot, weight, loss, state in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            own = sums.setdefault(slot, [0.0, 0.0, 0.0])
+        for slot, weight, state in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            own = sums.setdefault(slot, [0.0, 0.0])
             own[0] += weight
-            own[1] += loss
-            own[2] = own[2] + weight * np.frombuffer(state, np.float32).astype(np.float64)
-    yield _state_batch([(s, w, loss, (x / w).astype(np.float32).tobytes()) for s, (w, loss, x) in sorted(sums.items())])
+            own[1] = own[1] + weight * np.frombuffer(state, np.float32).astype(np.float64)
+    yield _state_batch([(s, w, (x / w).astype(np.float32).tobytes()) for s, (w, x) in sorted(sums.items())])
 
 
-def train_model(encoded: DataFrame) -> tuple[Weights, np.ndarray, Shares]:
+def train_model(encoded: DataFrame) -> tuple[bytes, Vocabulary]:
+    """Packed weights and the vocabulary, from (h, train, ids) rows."""
     spark = encoded.sparkSession
-    vocabulary = Vocabulary(_counted(encoded, VOCABULARY, lambda ids: np.append(ids, np.uint16(END)).astype(np.int64)))
-
-    def pair_cells(ids):
-        inputs, targets = sequences(ids, vocabulary)
-        return inputs.astype(np.int64) * CLASSES + vocabulary.classes[targets]
-
-    cells = _counted(encoded, INPUTS * CLASSES, pair_cells).reshape(INPUTS, CLASSES)
-    prior = PAIR_SMOOTHING * vocabulary.prior
-    pairs = np.log((cells + prior) / (cells.sum(1, keepdims=True) + PAIR_SMOOTHING)).astype(np.float32)
-    state = pack_weights(first_weights())
-    tasks = encoded.rdd.getNumPartitions()
+    counts = id_counts(encoded)
+    vocabulary = Vocabulary(counts)
+    tasks = min(encoded.rdd.getNumPartitions(), 1 + int(counts.sum()) // TASK_IDS)
+    state = pack_weights(first_weights(vocabulary))
     slots = max(1, int(tasks**0.5))
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((state, pairs, vocabulary))  # fixed sizes
-        states = encoded.where("train").select("h", "ids").mapInArrow(_train(shared, slots), _STATE)
-        rows = states.repartition(slots, "slot").mapInArrow(_average, _STATE).collect()  # about as many as the root of the tasks
-        if not rows:
-            break
-        total = sum(r["weight"] for r in rows)
-        state = sum(np.frombuffer(r["state"], np.float32).astype(np.float64) * (r["weight"] / total) for r in sorted(rows, key=lambda r: r["slot"])).astype(np.float32).tobytes()
-    return unpack_weights(state), pairs, Shares(vocabulary, {n: frequent_cells(encoded, n) for n in CELLS})
+    for part, rate in ROUNDS:
+        shared = spark.sparkContext.broadcast((state, vocabulary))  # at most 14 MB: bounded by the vocabulary
+        texts = encoded.where(F.col("train") & F.pmod("h", F.lit(16)).isin(*part)).select("h", "ids").coalesce(tasks)
+        states = texts.mapInArrow(_train(shared, rate, slots), _STATE)
+        rows = states.repartition(slots, "slot").mapInArrow(_average, _STATE).collect()  # the root of the number of tasks
+        if rows:
+            total = sum(r["weight"] for r in rows)
+            state = sum(np.frombuffer(r["state"], np.float32).astype(np.float64) * (r["weight"] / total) for r in sorted(rows, key=lambda r: r["slot"])).astype(np.float32).tobytes()
+    return state, vocabulary
+
+
+def score_texts(w: Weights, vocabulary: Vocabulary, texts) -> np.ndarray:
+    """log10 chances of texts, given as their ids."""
+    out, stream = np.zeros(len(texts)), Stream(PASS)
+
+    def take(batch):
+        owner, x, y, first, lead = batch
+        logs = Block(w, vocabulary, x, first, lead).logs(y).reshape(len(x), -1).sum(1)
+        np.add.at(out, owner, logs)
+
+    for k, ids in enumerate(texts):
+        for full in stream.add(k, *blocks_of(ids, vocabulary)):
+            take(full)
+    for last in stream.rest():
+        take(last)
+    return out / np.log(10)
 
 
 _SCORED = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -505,11 +218,13 @@ _SCORED = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.
 
 def _score(shared):
     def run(batches):
-        scorer = Scorer(*shared.value)
+        state, vocabulary = shared.value
+        w = unpack_weights(state, vocabulary)
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                piece = batch.slice(a, 64)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(scorer.scores(piece.column(2).to_pylist()))], names=_SCORED.fieldNames())
+            for a in range(0, batch.num_rows, 256):
+                piece = batch.slice(a, 256)
+                scores = score_texts(w, vocabulary, [ids.as_buffer() for ids in piece.column(2)])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(scores)], names=_SCORED.fieldNames())
 
     return run
 
@@ -522,9 +237,10 @@ def score_documents(docs: DataFrame, *, folds: int = 10, tokenizer: str = "byte_
     none = F.lit(-(1 << 63))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.xxhash64(text).alias("h"), (~out).alias("train"), text.alias("text"))
     encoded = materialize(texts.mapInArrow(_encode(tokenizer_files(tokenizer)[1]), _IDS), "subword-ids")
-    shared = spark.sparkContext.broadcast(train_model(encoded))  # fixed sizes
+    shared = spark.sparkContext.broadcast(train_model(encoded))  # bounded by the vocabulary
     scored = encoded.select("id", "h", "ids").mapInArrow(_score(shared), _SCORED).groupBy("id", "h").agg(F.min("score").alias("score"))
-    ends = encoded.where("train").count()
+    scored, ends = materialize(scored, "lm-scores"), encoded.where("train").count()
+    discard(spark, encoded)
     sums, distinct, words = unigram_sums(texts)
     total, kinds = words + ends, distinct + (ends > 0)
     n = F.col("words") + 1

@@ -132,7 +132,7 @@ def _add_up(batches):
         row, times, number = (np.frombuffer(x, np.int32) for x in (row, times, number))
         answers = [np.frombuffer(r[1], np.int64) for r in sorted((r for r in rows if r[0] >= 0), key=lambda r: r[0])]
         total = np.concatenate([*answers, np.zeros(0, np.int64)])[number]
-        logs = np.bincount(row, weights=times * np.log10(total + SMOOTHING), minlength=len(ids))
+        logs = np.bincount(row, weights=times * np.log10(total + SMOOTHING), minlength=len(ids)).astype(np.float64)
         known = np.bincount(row, weights=times * (total > 0), minlength=len(ids)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(sizes), pa.array(known), pa.array(logs)], names=_SUMS.fieldNames())
 
