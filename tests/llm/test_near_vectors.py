@@ -58,3 +58,21 @@ def test_blocks_and_cells(spark, monkeypatch):
 def test_empty(spark):
     assert got(spark, []) == []
     assert got(spark, [(4, None)]) == [(4, 0, 4, True)]
+
+
+def test_recall_at_default_constants(spark):
+    """Above the size from which cells are probed, at least 0.9 of the linked pairs of a brute-force comparison are found."""
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((3000, 16))
+    x = centers[rng.integers(0, 3000, 20_000)] + 0.16 * rng.standard_normal((20_000, 16))
+    assert N.cell_count(len(x)) > 1
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sum(int((unit[a : a + 2000] @ unit.T >= 0.9).sum()) for a in range(0, len(x), 2000)) - len(x)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sum(r.n_links for r in N.near_vectors(frame).collect())
+    assert 0.9 * want <= got <= want
+
+
+def test_repeated_ids(spark):
+    frame = spark.createDataFrame([(1, [1.0, 0.0])] * 2 + [(1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert len(N.near_vectors(frame).collect()) == 3

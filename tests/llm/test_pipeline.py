@@ -28,7 +28,7 @@ def plain(texts, model, passage):
     """The stages one after the other, each pair and window compared."""
     score = model.scorer()
     kept = {k: t for k, t in texts.items() if score(t) < toxicity.CUT}
-    sets, root = {k: shingles(t) for k, t in kept.items()}, {k: k for k in kept}
+    sets, root = {k: shingles(t, 5) for k, t in kept.items()}, {k: k for k in kept}
 
     def find(x):
         while root[x] != x:
@@ -38,7 +38,7 @@ def plain(texts, model, passage):
     for i in kept:
         for j in kept:
             both = len(sets[i] & sets[j])
-            if j < i and sets[i] and sets[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if j < i and sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     kept = {k: t for k, t in kept.items() if find(k) == k}

@@ -143,3 +143,57 @@ def test_held_out_accuracy_and_edges(spark):
     empty = X.fit(X.fit_rows(docs, labels.where("toxic = 0")))
     assert {r.score for r in X.score_toxicity(docs, empty).collect()} == {0.0}
     assert X.score_toxicity(docs.where("false"), model).count() == 0
+
+
+def test_windows_against_a_plain_score():
+    """Scores from the model's dictionaries, window by window, without a memo."""
+    import zstandard
+
+    model = X.fit([(t, x) for _, t, x in toxic_corpus(300, 9)])
+
+    def size(content, data):
+        params = zstandard.ZstdCompressionParameters(
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=20, hash_log=17, chain_log=17, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
+        )
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content + bytes(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(data))
+
+    def plain(text):
+        total = 0.0
+        for w in re.findall(rb" ?[^\x20\x09-\x0d]+", text.encode().lower()):
+            saved = size(model.ordinary, w * 4) - size(model.toxic + model.ordinary, w * 4)
+            total += model.odds[0 if abs(saved) > len(w) else min(max(saved, 0), 4)]
+        return model.chances[max(k for k, level in enumerate(model.levels) if level <= round(total, 9))]
+
+    score = model.scorer()
+    for text in ("", "Stal  zzgrobian\n\tthealing", " quorkhead blitherer", *(t for _, t, _ in toxic_corpus(20, 10))):
+        assert score(text) == plain(text)
+
+
+def test_a_hot_group_of_toxic_copies():
+    """Copies of one toxic text count once, so that its ordinary words mark nothing."""
+    rows = [(t, x) for _, t, x in toxic_corpus(400, 11)]
+    copy = next(t for t, x in rows if x)
+    score = X.fit(rows + [(copy, 1)] * 800).scorer()
+    test = toxic_corpus(300, 12)
+    assert sum((score(t) >= X.CUT) == x for _, t, x in test) >= 0.97 * len(test)
+
+
+def test_fit_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(X, "FIT_BYTES", 4000)
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(300)] + [(3, "yy"), (600, "z" * 10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)] + [(600, 0)], "doc_id long, toxic int")
+    rows = X.fit_rows(docs, labels)
+    assert 20 < len(rows) <= 41 and sum(len(t) for t, _ in rows) <= 4000
+
+
+def test_aligned_assignments_and_long_literals():
+    blank, long = " " * 40, "Zq7" * 3000
+    text = f'signing_key{blank}={blank}"{SECRET}"\nsigning_key = "{long}"\n' + "n" * 300 + f"_access_key = '{SECRET}'"
+    found = [text[a:b] for a, b, kind in S.scan(text)[1] if kind == "literal"]
+    assert found == [SECRET, long, SECRET]
+
+
+def test_repeated_rows_of_secrets(spark):
+    rows = [(1, f"password={SECRET}")] * 3 + [(2, f"password={SECRET}")]
+    got = S.digest_spans(S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(got) == 4 and len({tuple(r)[1:] for r in got}) == 1

@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import numpy as np
 
-STRIDE = 32
+STRIDE = 24
 SPAN = 2 * STRIDE
-WIDTH, HIDDEN, CLASSES, WIDE = 24, 48, 64, 512
+WIDTH, HIDDEN, CLASSES, WIDE = 16, 32, 48, 512
 SMOOTHING = 0.1
 
 Weights = dict[str, np.ndarray]

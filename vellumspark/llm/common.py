@@ -22,14 +22,17 @@ _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made and used for the session.
+    Read from ``spark.checkpoint.dir``; where that is unset, a temporary folder is
+    made for the session if all runs in this one process (tests), and else it is
+    an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     own = getattr(spark.sparkContext, "_vellum_dir", None)
     if own is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.sparkContext._vellum_dir = own
     return own

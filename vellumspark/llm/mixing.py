@@ -170,10 +170,11 @@ def mix_to_targets(
     text_col: str = "text",
     keep: tuple[str, ...] = ("source",),
 ) -> DataFrame:
-    """(id, kept columns, n_tokens, p_<domain>..., rate, copies) of every document.
+    """(id, those of the kept columns that there are, n_tokens, p_<domain>..., rate, copies) of every document.
 
     ``copies`` realises the rate in whole copies: its whole part, and one more
     with the chance of the rest, decided by the hash of the id."""
+    keep = tuple(c for c in keep if c in docs.columns)
     rows = materialize(features(docs, id_col, text_col, *keep), "mix-features")
     chances, known = _chances(rows, labels, id_col)
     rows = materialize(rows.select("id", *keep, "n_tokens", *(p.alias(f"p_{d}") for d, p in zip(DOMAINS, chances))), "mix-chances")
@@ -188,4 +189,5 @@ def mix_to_targets(
     luck = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 20)
     out = rows.withColumn("rate", rate)
     copies = (F.floor("rate") + (luck < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return out.select(F.col("id").alias(id_col), *keep, "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", copies.alias("copies"))
+    out = out.select("*", copies.alias("copies"))
+    return out.select(F.col("id").alias(id_col), *keep, "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies")

@@ -33,6 +33,13 @@ FIT_ROWS, CELL_ROWS, MAX_CELLS = 8192, 4096, 1024
 PROBES, BLOCK, ROUNDS = 4, 2048, 8
 
 
+def cell_count(total: int) -> int:
+    """Cells of ``CELL_ROWS / PROBES`` vectors each.  With so few of them that probing compares as many pairs as all
+    vectors have, one cell holds all."""
+    cells = min(MAX_CELLS, total * PROBES // CELL_ROWS)
+    return cells if cells > PROBES * PROBES else 1
+
+
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit centroids of spherical k-means; starts from evenly spaced rows."""
     cells = max(1, min(cells, len(sample)))
@@ -168,7 +175,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, id_col: str = "v
     keyed = materialize(sound.select("id", "v", key.alias("key")), "vectors")
     classes = materialize(keyed.groupBy("key").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("weight")), "vector-classes")
     total = classes.count()
-    cells = int(min(MAX_CELLS, max(1, total // CELL_ROWS * PROBES)))
+    cells = cell_count(total)
     sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()], np.float64)
     sample /= np.abs(sample).max(1, keepdims=True)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)

@@ -45,9 +45,10 @@ SENSITIVE = {
 }
 THRESHOLD = 1.0
 
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,63})["'\]]{0,2}[ \t]{0,8}$""")
-_VALUE = re.compile(r"""[ \t]{0,8}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`([^`\n]{0,4096})`|([A-Za-z0-9+/_.=~$@%!?&*^#-]+))""")
-_JOINED = re.compile(r"""[ \t]{0,8}\+[ \t]{0,8}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})')""")
+# Possessive, so that no length needs a limit.
+_VALUE = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z0-9+/_.=~$@%!?&*^#-]++))""")
+_JOINED = re.compile(r"""[ \t]*+\+[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
+_OF_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _SIGN = re.compile(r"=>|:=|(?<![=!<>+*/-])=(?!=)|(?<!:):(?!:)")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _CREDENTIAL = re.compile(r"[!-~]{8,}")
@@ -86,6 +87,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def name_before(text: str, at: int) -> str:
+    """The name that ends before ``at``, over blanks and at most two closing quotes or brackets; empty if there is none."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    for _ in range(2):
+        if at and text[at - 1] in "\"']":
+            at -= 1
+    first = at
+    while first and text[first - 1] in _OF_NAME:
+        first -= 1
+    return text[first:at].lstrip("0123456789.-")
+
+
 def pairs(text: str):
     """(name, literal, start, end) of each assignment; constants propagated.
 
@@ -95,7 +109,7 @@ def pairs(text: str):
     known: dict[str, tuple[str, int, int]] = {}
     for sign in _SIGN.finditer(text):
         at = sign.start()
-        name = _NAME_BEFORE.search(text, max(0, at - 80), at)
+        name = name_before(text, at)
         value = _VALUE.match(text, sign.end())
         if not name or not value:
             continue
@@ -113,8 +127,8 @@ def pairs(text: str):
                 literal += more[more.lastindex]
                 end = more.end(more.lastindex)
                 more = _JOINED.match(text, more.end())
-        known[name[1]] = (literal, start, end)
-        yield name[1], literal, start, end
+        known[name] = (literal, start, end)
+        yield name, literal, start, end
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:

@@ -1,186 +1,172 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic
-labelled texts.  Windows of a text are compressed with both; a window that the
-toxic dictionary shortens is nearer to toxic text.  A document's score comes
-from its two largest savings, through thresholds calibrated on labelled texts
-that the dictionaries have not seen.
+zstandard trains one dictionary on ordinary and one on toxic labelled texts.
+Windows of a text are compressed with the ordinary dictionary and with both
+together; the bytes that the toxic one saves say how much nearer a window is to
+toxic text.  A document's score adds up, over its windows, the log odds of
+their savings, and thresholds calibrated on labelled texts that the
+dictionaries have not seen make a chance of that sum.
 
 * Windows are words (with their leading space, A-Z lowered).  zstandard stores
   inputs of a dozen bytes as they are, so a window is compressed ``REPEAT``
   times in a row; the repeats cost the same with either dictionary.
-* Both dictionaries begin with the same ordinary content.  The toxic one adds
-  the stretches that many toxic fit texts hold, in many contexts, and no
-  ordinary fit text does, so both parse ordinary words alike.
-* Fitting takes a bounded sample: at most ``FIT_TOXIC`` and ``FIT_ORDINARY``
-  texts, the first by a hash of their ids, ``FIT_CHARS`` characters of each;
-  two thirds train the dictionaries, one third calibrates.  Scoring takes every
-  whole text.
-
-Defined cases: null or empty text has the score of no saving; fit rows without
-one of the classes give score 0 everywhere; repeated or conflicting labels of a
-document count as toxic if one is; an empty table gives an empty result; extra
-columns are ignored.
+* Both dictionaries are the library's, trained on whole texts.  The toxic one
+  holds much that is ordinary as well: windows of the fit texts that it shortens
+  although they are about as frequent in ordinary texts (``RATE`` of their
+  frequency in toxic ones or more) are added to the ordinary dictionary, until
+  none is left (at most ``ROUNDS`` times).
+* Fitting takes a bounded sample of labelled rows: at most ``FIT_TOXIC`` and
+  ``FIT_ORDINARY`` texts, the first by a hash of their ids, as long as they have
+  ``FIT_BYTES`` together.  Equal texts count once.  Two thirds train the
+  dictionaries, one third calibrates.  Scoring takes every whole text.
+
+Defined cases: null or empty text has the score of no window; fit rows without
+one of the classes give score 0 everywhere; fit texts too few or short for the
+library's trainer are their dictionary themselves; repeated or conflicting
+labels of a document count as toxic if one is; very long texts are scored
+window by window; rows of equal id and text have equal scores; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out
 
-FIT_TOXIC, FIT_ORDINARY, FIT_CHARS = 1500, 6000, 20_000
-ORDINARY_BYTES, TOXIC_BYTES = 16_000, 4_000
-REPEAT, GRAM = 6, 5
-#: A stretch enters the toxic dictionary if so large a part of the toxic fit
-#: texts hold it, and it stands in so many different contexts.
-MIN_SHARE, MIN_CONTEXTS, CONTEXT_SHARE = 0.015, 4, 0.3
+FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 1500, 6000, 24 << 20
+#: Bytes of either trained dictionary, and the trainer's segment and match lengths.
+DICTIONARY, SEGMENT, MATCH = 110_000, 16, 6
+REPEAT, RATE, ROUNDS = 4, 0.3, 6
+#: Savings of so many bytes and more are one level.
+LEVELS = 5
 MEMO_WORDS = 400_000
 CUT = 0.7
 
-_WORD = re.compile(rb" ?[^\x20\x09-\x0d]{4,}")
+_WINDOW = re.compile(rb" ?[^\x20\x09-\x0d]+")
 
 
 def _lower(text: str) -> bytes:
     return text.encode().lower()  # bytes.lower touches A-Z only
 
 
-def _grams(data: bytes) -> np.ndarray:
-    a = np.frombuffer(data, np.uint8).astype(np.uint64)
-    if len(a) < GRAM:
-        return np.zeros(0, np.uint64)
-    grams = np.zeros(len(a) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        grams = (grams << np.uint64(8)) | a[k : len(grams) + k]
-    return grams
-
-
-def _stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Stretches of words that mark toxic texts, the most frequent first."""
-    grams, counts = np.unique(np.concatenate([np.unique(_grams(t)) for t in toxic] or [np.zeros(0, np.uint64)]), return_counts=True)
-    often = counts >= max(3, MIN_SHARE * len(toxic))
-    grams, counts = grams[often], counts[often]
-    if not len(grams):
-        return []
-    clean = np.ones(len(grams), bool)
-    for text in ordinary:
-        own = _grams(text)
-        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-        clean[at[grams[at] == own]] = False
-    grams, counts = grams[clean], counts[clean]
-    if not len(grams):
-        return []
-    found, contexts = Counter(), defaultdict(set)
-    for text in toxic:
-        own = _grams(text)
-        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-        weight = np.where(grams[at] == own, counts[at], 0)
-        for word in _WORD.finditer(text):
-            start, stop = word.start(), max(word.start(), word.end() - GRAM + 1)
-            w = weight[start:stop]
-            if len(w) and w.max():
-                strong = np.flatnonzero(w >= 0.5 * w.max())
-                a, b = start + int(strong[0]), start + int(strong[-1]) + GRAM
-                stretch = text[a:b]
-                found[stretch] += 1
-                contexts[stretch].add(text[max(0, a - 8) : a] + b"|" + text[word.end() : word.end() + 8])
-    kept: list[bytes] = []
-    for stretch, n in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        several = len(contexts[stretch])
-        if several >= max(MIN_CONTEXTS, MIN_SHARE * len(toxic), CONTEXT_SHARE * n) and not any(stretch in other or (len(other) > GRAM and other in stretch) for other in kept):
-            kept.append(stretch)
-    return kept
+def _trained(texts: list[bytes]) -> bytes:
+    """The library's dictionary of the texts; where it finds them too few, their own bytes."""
+    import zstandard
+
+    pieces = [t[a : a + 2000] for t in texts for a in range(0, len(t), 2000)]
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY, max(256, sum(map(len, pieces)) // 4)), pieces, k=SEGMENT, d=MATCH).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[:DICTIONARY]
 
 
 def _compressor(content: bytes):
     import zstandard
 
     params = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=15, hash_log=15, chain_log=15, search_log=4, min_match=5, target_length=32,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=20, hash_log=17, chain_log=17, search_log=5, min_match=4, target_length=64,
         strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
-    trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    trained.precompute_compress(compression_params=params)
-    return zstandard.ZstdCompressor(dict_data=trained, compression_params=params)
+    content = content + bytes(16)  # the matcher does not index the last bytes of a dictionary
+    raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=raw, compression_params=params).compress
 
 
 @dataclass
 class ToxicityModel:
     ordinary: bytes = b""
     toxic: bytes = b""
-    #: Calibration: a text whose savings reach ``levels[k]`` is toxic with chance ``chances[k]``.
-    levels: list[float] = field(default_factory=lambda: [-1e9])
+    #: Log odds of a window by the bytes that the toxic dictionary saves on it: none, 1, 2 ...
+    odds: list[float] = field(default_factory=lambda: [0.0] * LEVELS)
+    #: Calibration: a text whose sum of odds reaches ``levels[k]`` is toxic with chance ``chances[k]``.
+    levels: list[float] = field(default_factory=lambda: [-1e300])
     chances: list[float] = field(default_factory=lambda: [0.0])
 
     def scorer(self):
-        """A function of a text; remembers the savings of words it has met."""
-        if self.ordinary == self.toxic:
+        """A function of a text; remembers the windows that it has met."""
+        if not self.toxic:
             return lambda text: 0.0
-        saved = Savings(self)
-        levels, chances = np.array(self.levels), self.chances
+        saved, levels, chances = Savings(self.ordinary, self.toxic), np.array(self.levels), self.chances
+        odds = _Odds(saved, self.odds)
 
         def score(text: str | None) -> float:
-            return float(chances[int(np.searchsorted(levels, saved.of_text(_lower(text or "")), side="right")) - 1])
+            return float(chances[int(np.searchsorted(levels, odds.of_text(_lower(text or "")), side="right")) - 1])
 
         return score
 
 
-class Savings(dict):
-    """Bytes that the toxic dictionary saves on a word, made on first sight."""
+class Savings:
+    """Bytes that the toxic dictionary saves on a window beside the ordinary one."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.plain, self.both = _compressor(ordinary), _compressor(toxic + ordinary)
+
+    def of(self, window: bytes) -> int:
+        repeated = window * REPEAT
+        value = len(self.plain(repeated)) - len(self.both(repeated))
+        return 0 if abs(value) > len(window) else value  # one of the two gave up and stored the window as it is
+
 
-    def __init__(self, model: ToxicityModel):
+class _Odds(dict):
+    """Log odds of each window, made on first sight; forgets all when full."""
+
+    def __init__(self, saved: Savings, odds: list[float]):
         super().__init__()
-        self.plain, self.marked = _compressor(model.ordinary).compress, _compressor(model.toxic).compress
-
-    def __missing__(self, word: bytes) -> int:
-        window = word * REPEAT
-        value = len(self.plain(window)) - len(self.marked(window))
-        if abs(value) > len(word):  # one of the two gave up and stored the window as it is
-            value = 0
-        if len(word) <= 48:
+        self.saved, self.odds = saved, odds
+
+    def __missing__(self, window: bytes) -> float:
+        value = self.odds[min(max(self.saved.of(window), 0), LEVELS - 1)]
+        if len(window) <= 48:
             if len(self) >= MEMO_WORDS:
                 self.clear()
-            self[word] = value
+            self[window] = value
         return value
 
     def of_text(self, text: bytes) -> float:
-        """The largest saving and half the second largest."""
-        values = list(map(self.__getitem__, _WORD.findall(text)))
-        if not values:
-            return 0.0
-        top = max(values)
-        values.remove(top)
-        return top + 0.5 * max(values, default=0)
+        return round(sum(map(self.__getitem__, _WINDOW.findall(text))), 9)
+
+
+def _windows(texts: list[bytes]) -> Counter:
+    return Counter(w for t in texts for w in _WINDOW.findall(t))
 
 
 def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
     """Dictionaries and thresholds from (text, label) rows in a fixed order."""
-    toxic = [_lower((text or "")[:FIT_CHARS]) for text, label in rows if label]
-    ordinary = [_lower((text or "")[:FIT_CHARS]) for text, label in rows if not label]
+    toxic, ordinary = (list(dict.fromkeys(_lower(text or "") for text, label in rows if bool(label) == kind)) for kind in (True, False))
     if len(toxic) < 3 or len(ordinary) < 3:
         return ToxicityModel()
     train = [[t for k, t in enumerate(own) if k % 3 != 2] for own in (toxic, ordinary)]
     rest = [[t for k, t in enumerate(own) if k % 3 == 2] for own in (toxic, ordinary)]
-    share = max(16, ORDINARY_BYTES // len(train[1]))
-    base = b"".join(t[:share] for t in train[1])[:ORDINARY_BYTES]
-    marks: list[bytes] = []
-    for stretch in _stretches(*train):
-        if sum(map(len, marks)) + len(stretch) > TOXIC_BYTES:
+    marked, plain = map(_trained, train)
+    of_toxic, of_ordinary = map(_windows, train)
+    share = RATE * sum(of_ordinary.values()) / max(1, sum(of_toxic.values()))
+    alike = [w for w, n in of_ordinary.items() if n >= share * of_toxic.get(w, 0)]
+    for _ in range(ROUNDS):
+        saved = Savings(plain, marked)
+        known = [w for w in alike if saved.of(w) > 0]
+        if not known:
             break
-        marks.append(stretch)
-    tail = bytes(16)  # the matcher does not index the last bytes of a dictionary
-    model = ToxicityModel(base + tail, base + b"".join(b"\0" + mark for mark in reversed(marks)) + tail)
-    saved = Savings(model)
-    points = sorted((saved.of_text(t), label) for label, texts in ((1, rest[0]), (0, rest[1])) for t in texts)
-    # Pool adjacent violators: the chance never falls as the savings rise.
+        plain += b"".join(known)
+    model, saved = ToxicityModel(plain, marked), Savings(plain, marked)
+    levels = [np.zeros(LEVELS), np.zeros(LEVELS)]
+    for of_class, own in zip(levels, rest):
+        for window, n in _windows(own).items():
+            of_class[min(max(saved.of(window), 0), LEVELS - 1)] += n
+    odds = np.log((levels[0] + 0.5) / (levels[0].sum() + LEVELS / 2)) - np.log((levels[1] + 0.5) / (levels[1].sum() + LEVELS / 2))
+    model.odds = odds.tolist()
+    found = _Odds(saved, model.odds)
+    points = sorted((found.of_text(t), label) for label, texts in ((1, rest[0]), (0, rest[1])) for t in texts)
+    # Pool adjacent violators: the chance never falls as the odds rise.
     blocks: list[list[float]] = []  # level, toxic, all
     for level, label in points:
         if blocks and blocks[-1][0] == level:
@@ -194,30 +180,34 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
         while len(pooled) > 1 and pooled[-2][1] / pooled[-2][2] >= pooled[-1][1] / pooled[-1][2]:
             last = pooled.pop()
             pooled[-1] = [pooled[-1][0], pooled[-1][1] + last[1], pooled[-1][2] + last[2]]
-    model.levels = [-1e9, *(b[0] for b in pooled[1:])]
+    # A threshold lies halfway to what was met below it.
+    below = [-1e300, *(max(level for level, _ in points if level < b[0]) for b in pooled[1:])]
+    model.levels = [-1e300, *((b[0] + x) / 2 for b, x in zip(pooled[1:], below[1:]))]
     model.chances = [(b[1] + 0.05) / (b[2] + 0.1) for b in pooled]
     return model
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str | None, int]]:
     """The bounded sample of labelled texts, outside fold 1 of 3."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 3, 1)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    order = [F.xxhash64(id_col), F.col(id_col)]
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 3, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    order = [F.xxhash64("id"), F.col("id")]
     picked = [known.where("label <> 0").orderBy(*order).limit(FIT_TOXIC), known.where("label = 0").orderBy(*order).limit(FIT_ORDINARY)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most FIT_TOXIC + FIT_ORDINARY rows
-    sample = docs.join(ids, id_col).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, FIT_CHARS).alias("text"), "label")
-    seen, rows = set(), []
-    for row in sorted(sample.collect(), key=lambda r: (r["h"], r["id"], r["text"] or "")):
-        if row["id"] not in seen:  # repeated ids would pass the bound
-            seen.add(row["id"])
-            rows.append((row["text"], row["label"]))
-    return rows
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Of rows that share an id, the least text counts.
+    sized = rows.join(ids, "id").groupBy("id").agg(F.max("label").alias("label"), F.min(F.struct(F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash"))).alias("one"))
+    part = F.when(F.col("label") != 0, 1).otherwise(0)
+    before = F.sum("one.bytes").over(Window.partitionBy(part).orderBy(*order))  # of the picked rows alone
+    limit = F.when(F.col("label") != 0, F.lit(FIT_BYTES // 4)).otherwise(F.lit(FIT_BYTES * 3 // 4))
+    chosen = F.broadcast(sized.withColumn("before", before).where(F.col("before") <= limit).select("id", "label", F.col("one.hash").alias("hash")))
+    sample = rows.join(chosen, "id").where(F.xxhash64("text") == F.col("hash")).select(F.xxhash64("id").alias("h"), "id", "text", "label").dropDuplicates(["id"])
+    return [(r["text"], r["label"]) for r in sorted(sample.collect(), key=lambda r: (r["h"], r["id"]))]  # FIT_BYTES at most
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of every whole text."""
     schema = T.StructType([docs.select(F.col(id_col).alias("id")).schema[0], T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most 20 kB each
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries; their size is bounded by the sample's
 
     def run(batches):
         score = _scorer(shared.value)
@@ -234,7 +224,7 @@ _scorers: dict[tuple, object] = {}
 
 def _scorer(model: ToxicityModel):
     """The scorer of a model, kept for the worker's next tasks."""
-    key = (model.toxic, tuple(model.levels), tuple(model.chances))
+    key = (model.toxic, model.ordinary, tuple(model.levels), tuple(model.chances))
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = model.scorer()
