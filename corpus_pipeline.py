@@ -10,14 +10,21 @@ written as Parquet and read again for the next one:
 4. secret scans: secrets are replaced by a mark;
 5. mixing: each document gets a rate and whole copies that bring the expected
    tokens of the domains to their targets.
+
+Defined cases: null and empty texts stay, with no words to compare or cut; very
+long texts are read whole by each stage; rows of one id and one text are one
+row from stage 2 on, rows of one id and several texts are one document, whose
+texts stay or go together; of a group the least id stays; empty tables give an
+empty result; further columns are kept up to stage 4, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vellumspark.llm import decontaminate, jaccard_join, mixing, secrets, toxicity
-from vellumspark.llm.common import materialize
+from vellumspark.llm.common import free_name, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +34,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = jaccard_join.jaccard_components(docs, width=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    unnamed = docs.where("doc_id is null")
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed).select(docs.columns)
+    hash_ = free_name("hash", docs.columns)
+    one = docs.withColumn(hash_, F.xxhash64("text")).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", hash_])
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
