@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text handled at once by the vectorised kernels (about 30 bytes of
+#: Bytes of text handled at once by the vectorised kernels (about 100 bytes of
 #: working memory each).  A longer document forms a segment of its own.
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 #: While a table is written: what it shuffled goes with the write, and batches of long texts stay small.
@@ -195,7 +195,7 @@ def _times(x: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return _reduced(((x1 * high) << np.uint64(1)) + (cross >> np.uint64(30)) + ((cross & _LOW30) << np.uint64(31)) + x0 * low)
 
 
-_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(1, np.uint64), np.ones(1, np.uint64))] * 2
+_powers: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(1, np.uint32), np.ones(1, np.uint32))] * 2
 
 
 def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -207,7 +207,7 @@ def _power_tables(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
                 step = pow(base, size, PRIME)
                 table = np.concatenate([table, _times(table, np.uint64(step >> 31), np.uint64(step & 0x7FFFFFFF))])
                 size *= 2
-            _powers[k] = (table >> np.uint64(31), table & _LOW31)
+            _powers[k] = ((table >> np.uint64(31)).astype(np.uint32), (table & _LOW31).astype(np.uint32))
     return _powers
 
 
@@ -221,10 +221,11 @@ class Fingerprints:
 
     def __init__(self, data: np.ndarray):
         (high, low), self.inverse = _power_tables(len(data) + 1)
-        value = data.astype(np.uint64) + np.uint64(1)
+        value = data.astype(np.uint16) + np.uint16(1)
         self.high, self.low = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(value * high[: len(data)], out=self.high[1:])
-        np.cumsum(value * low[: len(data)], out=self.low[1:])
+        for sums, power in ((self.high, high), (self.low, low)):
+            np.multiply(value, power[: len(data)], out=sums[1:], dtype=np.uint64)
+            np.cumsum(sums, out=sums)
 
     def _between(self, high: np.ndarray, low: np.ndarray, inverse: tuple[np.ndarray, np.ndarray], length) -> np.ndarray:
         raw = _reduced(_shifted(_reduced(high)) + _reduced(low))
@@ -259,6 +260,21 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return word_hashes(data, end - np.array([len(w) for w in words], np.int64), end)
 
 
+_kept: list = []
+
+
+def worker_keeps(key, make):
+    """What ``make`` gives, kept by the Python worker for its next tasks; it keeps one thing at a time."""
+    if not _kept or _kept[0] != key:
+        _kept[:] = [key, make()]
+    return _kept[1]
+
+
+def worker_forgets() -> None:
+    """Frees what the worker's tasks before have kept."""
+    _kept.clear()
+
+
 def free_name(name: str, taken) -> str:
     """``name`` with as many underscores before it as keep it apart from the ``taken`` ones."""
     while name in taken:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_BREAK, discard, lowered, materialize, mix, parts, segments, text_bytes, word_hashes, word_spans
+from .common import SPACE_BREAK, discard, lowered, materialize, mix, parts, segments, text_bytes, word_hashes, word_spans, worker_forgets
 from .components import connected_components
 
 #: Distinct shingles of most sets, at most, whose order is by their count.
@@ -222,6 +222,7 @@ def _scan(width: int):
             yield pa.RecordBatch.from_arrays([none, none, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(shingles[often].view(np.int64)), pa.array(times[often], pa.int64())], schema=schema)
 
     def run(batches):
+        worker_forgets()
         seen: set[bytes] = set()
         held, size = [], 0
         for batch in batches:

@@ -20,7 +20,6 @@ ignored.
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .attention import Adam, Block, Stream, Vocabulary, Weights, cut_blocks, first_weights
-from .common import discard, held_out, materialize
+from .common import discard, held_out, materialize, worker_forgets, worker_keeps
 from .token_counts import encoding, tokenizer_files
 from .unigram import SMOOTHING, unigram_sums
 
@@ -64,9 +63,8 @@ class _WordIds(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def _memo(ranks_path: str) -> _WordIds:
-    return _WordIds(ranks_path)
+    return worker_keeps(("words", ranks_path), lambda: _WordIds(ranks_path))
 
 
 def subword_ids(text: str, ranks_path: str) -> bytes:
@@ -93,7 +91,7 @@ _COUNT = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n",
 
 def _counts(batches):
     """Counts of the ids of a partition, ends included."""
-    _memo.cache_clear()  # the worker encodes no more
+    worker_forgets()  # it encodes no more
     total = np.zeros(VOCABULARY, np.int64)
     for batch in batches:
         for ids in batch.column(0):

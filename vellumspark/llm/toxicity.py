@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import held_out, worker_keeps
 
 FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 1500, 6000, 24 << 20
 #: Bytes of either trained dictionary, and the trainer's segment and match lengths.
@@ -48,7 +48,7 @@ DICTIONARY, SEGMENT, MATCH = 110_000, 16, 6
 REPEAT, RATE, ROUNDS = 4, 0.3, 6
 #: Savings of so many bytes and more are one level.
 LEVELS = 5
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 CUT = 0.7
 
 _WINDOW = re.compile(rb" ?[^\x20\x09-\x0d]+")
@@ -219,16 +219,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return scored.select(F.col("id").alias(id_col), F.coalesce(held_out("id", 3, 1), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
 
 
-_scorers: dict[tuple, object] = {}
-
-
 def _scorer(model: ToxicityModel):
     """The scorer of a model, kept for the worker's next tasks."""
-    key = (model.toxic, model.ordinary, tuple(model.levels), tuple(model.chances))
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = model.scorer()
-    return _scorers[key]
+    return worker_keeps(("toxicity", model.toxic, model.ordinary, tuple(model.levels), tuple(model.chances)), model.scorer)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
