@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_BREAK, free_name, lowered, segments, text_bytes, word_hashes, word_spans
+from .common import ALNUM_BREAK, free_name, frugal, lowered, segments, text_bytes, word_hashes, word_spans
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -212,8 +212,9 @@ def cut(text: str | None, spans) -> str | None:
     return "".join(pieces) + text[at:]
 
 
-def _pass(shared, width: int, text_at: int, before: bool):
-    """One block of items against all rows; with ``before``, the last three columns hold what earlier blocks found."""
+def _pass(shared, width: int, text_at: int, before: bool, cutting: bool = False):
+    """One block of items against all rows; with ``before``, the last three columns hold what earlier blocks found.
+    With ``cutting``, the spans are cut from the text instead of being returned."""
     names = ("first_word", "end_word", "start", "end")
 
     def flush(windows, batches, shard):
@@ -228,6 +229,13 @@ def _pass(shared, width: int, text_at: int, before: bool):
                 for k, (old, own) in enumerate(zip(batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist())):
                     new_spans[k] = merge_spans(new_spans[k] + [tuple(s[x] for x in names) for s in old])
                     new_items[k].update(own)
+            if cutting:
+                columns = [batch.column(k) for k in kept]
+                if any(new_spans):
+                    columns[text_at] = pa.array([cut(t, [dict(zip(names, s)) for s in own]) for t, own in zip(columns[text_at].to_pylist(), new_spans)], pa.string())
+                yield columns
+                at += n
+                continue
             found = [
                 pa.array(n_words[at : at + n], pa.int64()),
                 pa.array([[dict(zip(names, s)) for s in own] for own in new_spans], _SPANS),
@@ -252,8 +260,8 @@ def _pass(shared, width: int, text_at: int, before: bool):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` and three more columns, the last ones: the number of words, the merged hit spans (word numbers and
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", cutting: bool = False) -> DataFrame:
+    """With ``cutting``, ``docs`` without the hit spans; else ``docs`` and three more columns, the last ones: the number of words, the merged hit spans (word numbers and
     code points, ends exclusive) and the items with occurring windows.  They are called ``_n_words``, ``_spans`` and
     ``_items``, with more underscores where ``docs`` has such a column."""
     spark = docs.sparkSession
@@ -263,12 +271,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WI
     kinds = {"_n_words": T.LongType(), "_spans": SPANS, "_items": T.ArrayType(T.StringType())}
     names = [free_name(name, docs.columns) for name in kinds]
     out = T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind in zip(names, kinds.values()))])
-    text_at = docs.columns.index(text_col)
+    text_at, schema = docs.columns.index(text_col), docs.schema
     for block in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         rows = [(r["item"], r["text"]) for r in own.orderBy("item", "text").collect()]  # about BLOCK_BYTES
-        step = _pass(spark.sparkContext.broadcast(rows), width, text_at, block > 0)
-        docs = docs.mapInArrow(named(step, out.names), out)
+        last = cutting and block == blocks - 1
+        step = _pass(spark.sparkContext.broadcast(rows), width, text_at, block > 0, last)
+        result = schema if last else out
+        docs = docs.mapInArrow(frugal(named(step, result.names)), result)
     return docs
 
 
@@ -299,18 +309,7 @@ def digest_contamination(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", count_col: str | None = "n_chars", **options) -> DataFrame:
     """``docs`` with the hit spans cut from the text and its length brought up to date."""
     schema = docs.schema
-    found = find_contamination(docs, benchmark, text_col=text_col, **options)
-
-    at, width = schema.names.index(text_col), len(schema)
-
-    def step(batches):
-        for batch in batches:
-            columns, spans = [batch.column(k) for k in range(width)], batch.column(width + 1).to_pylist()
-            if any(spans):
-                columns[at] = pa.array([cut(t, s) for t, s in zip(columns[at].to_pylist(), spans)], pa.string())
-            yield columns
-
-    out = found.mapInArrow(named(step, schema.names), schema)
+    out = find_contamination(docs, benchmark, text_col=text_col, cutting=True, **options)
     if count_col in schema.fieldNames():
         out = out.withColumn(count_col, F.when(F.col(count_col).isNotNull(), F.length(text_col)).cast(schema[count_col].dataType))
     return out

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_BREAK, discard, lowered, materialize, mix, parts, segments, text_bytes, word_hashes, word_spans, worker_forgets
+from .common import SPACE_BREAK, discard, frugal, lowered, materialize, mix, parts, segments, text_bytes, word_hashes, word_spans, worker_forgets
 from .components import connected_components
 
 #: Distinct shingles of most sets, at most, whose order is by their count.
@@ -452,7 +452,7 @@ def _walked(rows: DataFrame, key: list[str], sets: DataFrame, percent: int, n_pa
     keyed = rows.select(F.xxhash64(*key).alias("deal"), F.struct(*key).alias("walk"), "sig", "id", "group", "wanted")
     whole = keyed.join(sets.hint("merge"), "sig").repartition(n_parts, "deal").sortWithinPartitions("walk")
     plain = F.concat_ws("/", *(F.hex(f"walk.{k}") for k in key)).alias("walk")
-    return materialize(whole.select(plain, "id", "group", "wanted", "shingles").mapInArrow(_walks(percent), _EDGE), name)
+    return materialize(whole.select(plain, "id", "group", "wanted", "shingles").mapInArrow(frugal(_walks(percent)), _EDGE), name)
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -462,7 +462,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
     n_parts = parts(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    scanned = materialize(texts.mapInArrow(_scan(width), _SCAN), "jaccard-scan")
+    scanned = materialize(texts.mapInArrow(frugal(_scan(width)), _SCAN), "jaccard-scan")
     rows = scanned.where("n is not null").select("id", "n", "sig", "map")
     counted = scanned.where("n is null").groupBy("shingle").agg(F.sum("times").alias("times"))
     top = counted.orderBy(F.desc("times"), "shingle").limit(HEAVY).collect()  # at most HEAVY rows
@@ -473,7 +473,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
 
     # A class is named by its least id; rows of one id hold several classes together.
     classes = materialize(rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("map").alias("map")), "jaccard-classes")
-    packs = texts.mapInArrow(_index(width, percent, 4 * n_parts, heavy), _PACK)
+    packs = texts.mapInArrow(frugal(_index(width, percent, 4 * n_parts, heavy)), _PACK)
     lists = packs.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists(percent), _LIST)
     first = materialize(lists.distinct().join(classes, "sig").select("list", "sig", "n"), "jaccard-members")
     # Once more, now that lists are long: those with one leader are walked as one.
@@ -490,7 +490,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 4, percent: int = 85, id
 
     # The sets that some list asks for.
     needed = members.select("id").distinct()
-    found = texts.join(needed.hint("merge"), "id", "left_semi").select("text").mapInArrow(_sets(width), _SET)
+    found = texts.join(needed.hint("merge"), "id", "left_semi").select("text").mapInArrow(frugal(_sets(width)), _SET)
     sets = materialize(found.join(members.select("sig").distinct().hint("merge"), "sig", "left_semi").dropDuplicates(["sig"]), "jaccard-sets")
     chunked = members.withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
     alone = chunked.withColumns({"group": F.xxhash64("sig"), "wanted": F.lit(True)})

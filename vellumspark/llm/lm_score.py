@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .attention import Adam, Block, Stream, Vocabulary, Weights, cut_blocks, first_weights
-from .common import discard, held_out, materialize, worker_forgets, worker_keeps
+from .common import discard, frugal, held_out, materialize, worker_forgets, worker_keeps
 from .token_counts import encoding, tokenizer_files
 from .unigram import SMOOTHING, unigram_sums
 
@@ -234,9 +234,9 @@ def score_documents(docs: DataFrame, *, folds: int = 10, tokenizer: str = "byte_
     out = F.coalesce(held_out(id_col, folds, 0), F.lit(False))
     none = F.lit(-(1 << 63))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.xxhash64(text).alias("h"), (~out).alias("train"), text.alias("text"))
-    encoded = materialize(texts.mapInArrow(_encode(tokenizer_files(tokenizer)[1]), _IDS), "subword-ids")
+    encoded = materialize(texts.mapInArrow(frugal(_encode(tokenizer_files(tokenizer)[1])), _IDS), "subword-ids")
     shared = spark.sparkContext.broadcast(train_model(encoded))  # bounded by the vocabulary
-    scored = encoded.select("id", "h", "ids").mapInArrow(_score(shared), _SCORED).groupBy("id", "h").agg(F.min("score").alias("score"))
+    scored = encoded.select("id", "h", "ids").mapInArrow(frugal(_score(shared)), _SCORED).groupBy("id", "h").agg(F.min("score").alias("score"))
     scored, ends = materialize(scored, "lm-scores"), encoded.where("train").count()
     discard(spark, encoded)
     sums, distinct, words = unigram_sums(texts)

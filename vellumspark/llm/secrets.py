@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import frugal
+
 #: The base patterns, in the order of their kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -199,7 +201,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", count_col: str | N
             texts = pa.array([redact(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == at else batch.column(k) for k in range(batch.num_columns)], names=batch.schema.names)
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(frugal(run), schema)
     if count_col in schema.fieldNames():
         out = out.withColumn(count_col, F.when(F.col(count_col).isNotNull(), F.length(text_col)).cast(schema[count_col].dataType))
     return out

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, worker_keeps
+from .common import frugal, held_out, worker_keeps
 
 FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 1500, 6000, 24 << 20
 #: Bytes of either trained dictionary, and the trainer's segment and match lengths.
@@ -215,7 +215,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             scores = pa.array([score(t) for t in batch.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["id", "score"])
 
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(run), schema)
     return scored.select(F.col("id").alias(id_col), F.coalesce(held_out("id", 3, 1), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
 
 
@@ -234,4 +234,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
         for batch in batches:
             yield batch.filter(pa.array([score(t) < CUT for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
