@@ -25,29 +25,33 @@ def test_frontmatter_edges():
     assert M.parse_note("---\nopen: 1\n").error
     crlf = M.parse_note("---\r\na: b\r\n...\r\nx\r\n")
     assert crlf.properties == {"a": ["b"]} and crlf.body == "x\r\n"
+    assert M.parse_note("---\na: b\n --- \nx").properties == {"a": ["b"]}
     assert M.parse_note("text\n---\n").properties == {} and M.parse_note(None).body == ""
 
 
 def test_visible_lines_and_links():
-    body = "a [[One|l]] `[[no]]`\n````\n[[no]]\n```\n````\n<!-- [[no]] -->![[Two#h]]\n<!--\n[[no]]\n--> [[#here]]"
+    body = "a [[One|l]] `[[no]]`\n````\n[[no]]\n```\n````\n<!-- [[no]] -->![[Two#h]]\n<!--\n[[no]]\n--> [[no]]\n[[#here]] a <!-- x --> b <!-- [[no]] --> <!-- [[no]]"
     found = M.body_links(body, 10)
-    assert [(x["note"], x["anchor"], x["label"], x["line"], x["embedded"]) for x in found] == [("One", None, "l", 11, False), ("Two", "h", None, 16, True), ("", "here", None, 19, False)]
+    assert [(x["note"], x["anchor"], x["label"], x["line"], x["embedded"]) for x in found] == [("One", None, "l", 11, False), ("Two", "h", None, 16, True), ("", "here", None, 20, False)]
 
 
 def test_sections():
     body = "intro\n# A #\n## C#\none\n# A\n```\n# no\n```\n## B\n\n## C#\ntwo"
     got = [("/".join(s["heading_path"]), s["occurrence"], s["start_line"]) for s in M.sections(body)]
-    assert got == [("Document", 1, 1), ("A/C#", 1, 3), ("A", 1, 5), ("A/C#", 2, 11)]
+    assert got == [("", 1, 1), ("A", 1, 2), ("A/C#", 1, 3), ("A", 2, 5), ("A/B", 1, 9), ("A/C#", 2, 11)]
+    first, heading = M.sections("# A\n## B\ntext\n", 4)
+    assert (first["body"], first["end_line"], heading["body"], heading["anchor"]) == ("# A", 5, "## B\ntext", "A#B")
+    assert M.missing_roles("# Overview\n## Detail\ntext")[0] == "task"
 
 
 def test_roles_drafts_regions():
     assert M.missing_roles("# 1. Overview\nx\n<summary>Task</summary>\n# 评估\ny") == ["challenges", "solutions", "conclusions", "evidence"]
     blocks = M.draft_blocks("x <!-- KOS:refs=b, a --> one <!--KOS:refs=c--> two")
     assert blocks == [{"refs": ["a", "b"], "text": "one"}, {"refs": ["c"], "text": "two"}]
-    text = "x<!-- managed:start r -->in<!-- managed:end r -->y"
+    text = "x<!-- KOS:managed:r:start -->in<!-- KOS:managed:r:end -->y"
     a, b = M.region_span(text, "r")
     assert text[a:b] == "in"
-    for bad in ("", text + text, text.replace("in", "<!-- managed:start q -->"), "<!-- managed:start q -->" + text):
+    for bad in ("", text + text, text.replace("in", "<!-- KOS:managed:q:start -->"), "<!-- KOS:managed:q:start -->" + text):
         with pytest.raises(ValueError):
             M.region_span(bad, "r")
 

@@ -40,7 +40,7 @@ def test_digests():
 
 
 def test_targets(tmp_path):
-    mixed = "---\norigin: mixed\n---\nmine\n<!-- managed:start r -->old<!-- managed:end r -->\nmine too\n"
+    mixed = "---\norigin: mixed\n---\nmine\n<!-- KOS:managed:r:start -->old<!-- KOS:managed:r:end -->\nmine too\n"
     (tmp_path / "m.md").write_text(mixed)
     (tmp_path / "h.md").write_text("human\n")
     for relative, region in (("h.md", None), ("m.md", None), ("../x.md", None), ("/x.md", None), ("x.txt", None), ("m.md", "q")):

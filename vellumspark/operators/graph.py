@@ -6,24 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None, *, max_rounds: int = 1_000) -> DataFrame:
+def cut(frame: DataFrame) -> DataFrame:
+    """``frame`` checkpointed where a checkpoint folder is set; without one (tests), kept in memory."""
+    spark = frame.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return frame.checkpoint() if folder else frame.persist()
+
+
+def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(start, node): nodes reached over (source, target) edges by one step or more.
 
     A frontier joins the edges round by round and only new pairs go on, so
     cycles end and no path is walked twice; each round is written where a
     checkpoint folder is set.
     """
-    spark = edges.sparkSession
     edges = edges.select("source", "target").distinct()
     frontier = edges.select(F.col("source").alias("start"), F.col("target").alias("node"))
     if seeds is not None:
         frontier = frontier.join(seeds.select(F.col("id").alias("start")), "start", "left_semi")
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    cut = (lambda d: d.checkpoint()) if folder else (lambda d: d.persist())
     reached = frontier = cut(frontier.distinct())
-    for _ in range(max_rounds):
+    while True:
         onward = frontier.join(edges, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
         frontier = cut(onward.join(reached, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
@@ -33,8 +37,27 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, *, max_rounds: int
 
 
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """(id): nodes that reach themselves."""
-    return closure(edges).where("start = node").select(F.col("node").alias("id"))
+    """(id): nodes that reach themselves.  Nodes without a way in or out go first, round by round, so that only what
+    lies between cycles is closed."""
+    return closure(between_cycles(edges)).where("start = node").select(F.col("node").alias("id"))
+
+
+def between_cycles(edges: DataFrame) -> DataFrame:
+    """The (source, target) edges that are left when nodes without an edge in or without one out are taken away until
+    none is left."""
+    current, count = cut(edges.select("source", "target").distinct()), -1
+    while (n := current.count()) != count:
+        count = n
+        onward = current.join(current.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        current = cut(onward.join(onward.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
+    return current
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, id): the nodes that reach each other, each such set named by its least node."""
+    reach = closure(between_cycles(edges))
+    back = reach.select(F.col("node").alias("start"), F.col("start").alias("node"))
+    return reach.join(back, ["start", "node"]).groupBy("start").agg(F.min("node").alias("cycle")).select("cycle", F.col("start").alias("id"))
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.functions.markdown import casefold_udf
+
 
 def split_link(value: Column) -> Column:
     """STRUCT(note, anchor, label) of a link: the first ``|`` ends the target, the
@@ -61,8 +63,8 @@ def reverse_index(pairs: DataFrame) -> DataFrame:
 def check_anchors(links: DataFrame, anchors: DataFrame) -> DataFrame:
     """``links`` (target, anchor) with ``state``: an anchor must match exactly one
     heading, heading path or ``^block`` of its target, whatever its case."""
-    keyed = anchors.select(F.col("id").alias("target"), F.lower("anchor").alias("_a")).groupBy("target", "_a").agg(F.count("*").alias("_n"))
-    found = links.withColumn("_a", F.lower("anchor")).join(keyed, ["target", "_a"], "left")
+    keyed = anchors.select(F.col("id").alias("target"), casefold_udf("anchor").alias("_a")).groupBy("target", "_a").agg(F.count("*").alias("_n"))
+    found = links.withColumn("_a", casefold_udf("anchor")).join(keyed, ["target", "_a"], "left")
     state = F.when(F.col("anchor").isNull(), "none").when(F.col("_n").isNull(), "missing_anchor").when(F.col("_n") > 1, "ambiguous_anchor").otherwise("resolved")
     return found.select(*links.columns, state.alias("state"))
 

@@ -1,10 +1,9 @@
-"""Window queries over events, and parsing queries over notes made from columns."""
+"""Window queries over events."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumspark.functions.markdown import lines_udf, links_udf, missing_roles_udf, note_udf, sections_udf
 from vellumspark.plans.registry import query, table
 from vellumspark.streaming.events import sessions, tumbling
 
@@ -19,40 +18,3 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, epoch_us(min(ts))::BIGINT AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
 def events_session(spark, sf_dir):
     return sessions(table(spark, sf_dir, "events"), "1 hour", "user_id").withColumn("start", F.unix_micros("start"))
-
-
-def _notes(spark, sf_dir):
-    lines = [F.lit("---"), F.concat(F.lit("type: "), F.col("lang")), F.concat(F.lit("source_refs: ['"), F.col("source"), F.lit("', \"b, c\"] # two")), F.lit("parents:"), F.concat(F.lit("  - P"), F.col("doc_id")), F.lit("---"),
-             F.lit("intro"), F.lit("## Overview"), F.concat(F.lit("See [[N"), F.col("doc_id") % 7, F.lit("#A|x]] and `[[no]]`.")), F.lit("```"), F.lit("# hidden [[no]]"), F.lit("```"), F.lit("### C#"), F.lit("<!-- [[no]]"), F.lit("-->![[E]]"), F.lit("## Overview"), F.lit("again")]
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat_ws("\n", *lines).alias("note"))
-
-
-@query("SELECT doc_id, lang AS note_type, source || '|b, c' AS refs, 'P' || doc_id AS parent, 6::BIGINT AS line_offset, NULL::VARCHAR AS error FROM documents")
-def frontmatter_parse(spark, sf_dir):
-    n = _notes(spark, sf_dir).select("doc_id", note_udf("note").alias("n"))
-    p = F.col("n.properties")
-    return n.select("doc_id", p["type"][0].alias("note_type"), F.array_join(p["source_refs"], "|").alias("refs"), p["parents"][0].alias("parent"), F.col("n.offset").cast("long").alias("line_offset"), F.col("n.error").alias("error"))
-
-
-@query("""SELECT doc_id, unnest(['Document', 'Overview', 'Overview/C#', 'Overview']) AS path, unnest([1, 1, 1, 2])::BIGINT AS occurrence, unnest([7, 8, 13, 16])::BIGINT AS start_line FROM documents""")
-def sectionize(spark, sf_dir):
-    n = _notes(spark, sf_dir).select("doc_id", note_udf("note").alias("n"))
-    s = n.select("doc_id", F.explode(sections_udf("n.body", "n.offset")).alias("s"))
-    return s.select("doc_id", F.array_join("s.heading_path", "/").alias("path"), F.col("s.occurrence").cast("long").alias("occurrence"), F.col("s.start_line").cast("long").alias("start_line"))
-
-
-@query("SELECT doc_id, unnest(['N' || (doc_id % 7), 'E']) AS note, unnest(['A', NULL]) AS anchor, unnest([9, 15])::BIGINT AS line, unnest([false, true]) AS embedded FROM documents")
-def body_links(spark, sf_dir):
-    n = _notes(spark, sf_dir).select("doc_id", note_udf("note").alias("n"))
-    found = n.select("doc_id", F.explode(links_udf("n.body", "n.offset")).alias("x"))
-    return found.select("doc_id", "x.note", "x.anchor", F.col("x.line").cast("long").alias("line"), "x.embedded")
-
-
-@query("SELECT doc_id, 14::BIGINT AS visible FROM documents")
-def visible_lines(spark, sf_dir):
-    return _notes(spark, sf_dir).select("doc_id", F.size(lines_udf("note")).cast("long").alias("visible"))
-
-
-@query("SELECT doc_id, 'task,evaluation,challenges,solutions,conclusions,evidence' AS missing FROM documents")
-def project_roles(spark, sf_dir):
-    return _notes(spark, sf_dir).select("doc_id", F.array_join(missing_roles_udf("note"), ",").alias("missing"))

@@ -29,7 +29,7 @@ def notes(files: DataFrame, root: str = "") -> DataFrame:
 
 
 def sections(notes_: DataFrame) -> DataFrame:
-    return notes_.select("id", F.explode(sections_udf("body", "body_line_offset")).alias("s")).select("id", "s.*", F.sha2("s.body", 256).alias("content_hash"))
+    return notes_.select("id", F.explode(sections_udf("body", "body_line_offset")).alias("s")).select("id", "s.*")
 
 
 #: Properties whose values are links to other notes.
@@ -111,7 +111,7 @@ def evaluation_suite(spark: SparkSession, path: str) -> DataFrame:
 def ledger(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
     """Header keys of a claim ledger, and its records as (line_no, record)."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("p", "line"))
-    head = lines.where(F.col("line").rlike("^[A-Za-z_]+: ")).limit(100).collect()  # a header, not the records
+    head = lines.where(F.col("line").rlike("^[A-Za-z_]+: ")).collect()  # the header, not the records
     return {r["line"].split(": ", 1)[0]: r["line"].split(": ", 1)[1].strip() for r in head}, lines.where(F.col("line").startswith("- {")).select((F.col("p") + 1).alias("line_no"), F.substring("line", 3, 1 << 30).alias("record"))
 
 
