@@ -344,32 +344,3 @@ def provenance_grade(spark, sf_dir):
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
-# Lint ---------------------------------------------------------------------
-
-_LINT = """SELECT 'path_heavy_prose' AS kind, doc_id::VARCHAR AS subject, '' AS detail FROM documents WHERE len(regexp_extract_all(text, ' de ')) > 3
-UNION ALL SELECT 'invalid_learning_kind', doc_id::VARCHAR, source FROM documents WHERE source NOT IN ('src1', 'src2') AND lang = 'fr'
-UNION ALL SELECT 'duplicate_id', n_regionkey::VARCHAR, count(*)::VARCHAR FROM nation GROUP BY n_regionkey HAVING count(*) > 1
-UNION ALL SELECT 'unregistered_source_ref', s_suppkey::VARCHAR, '' FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)"""
-
-
-def _lint(spark, sf_dir):
-    docs, nation = table(spark, sf_dir, "documents"), table(spark, sf_dir, "nation")
-    heavy = docs.where(F.regexp_count("text", F.lit(" de ")) > 3)
-    kinds = docs.where((~F.col("source").isin("src1", "src2")) & (F.col("lang") == "fr"))
-    twice = rules.duplicates(nation, "n_regionkey")
-    stray = table(spark, sf_dir, "supplier").join(nation.where("n_regionkey < 3"), F.col("s_nationkey") == F.col("n_nationkey"), "left_anti")
-    return rules.report(
-        rules.issues(heavy, "path_heavy_prose", "doc_id"), rules.issues(kinds, "invalid_learning_kind", "doc_id", F.col("source")), rules.issues(twice, "duplicate_id", "n_regionkey", F.col("n")), rules.issues(stray, "unregistered_source_ref", "s_suppkey")
-    )
-
-
-@query(_LINT)
-def lint_rules(spark, sf_dir):
-    return _lint(spark, sf_dir)
-
-
-@query(f"SELECT kind, count(*)::BIGINT AS n FROM ({_LINT}) GROUP BY kind")
-def issue_counts(spark, sf_dir):
-    return rules.issue_counts(_lint(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumspark.functions.markdown import lines_udf
-from vellumspark.operators import knowledge_graph, lint
+from vellumspark.operators import knowledge_graph, lint, rules
 from vellumspark.plans.registry import query, table
 from vellumspark.sources import vault
 
@@ -132,7 +132,7 @@ def project_graph(spark, sf_dir):
 _HEADS = "h AS (SELECT 'repos/r' || k AS path, 'abc1234' AS head, k FROM range(4) t(k))"
 
 
-@query(f"""WITH {_SQL}, {_LINKS}, {_PROJECTS}, {_HEADS}, m AS (SELECT *, id || '.md' AS path FROM n WHERE NOT broken)
+_LINT = f"""WITH {_SQL}, {_LINKS}, {_PROJECTS}, {_HEADS}, m AS (SELECT *, id || '.md' AS path FROM n WHERE NOT broken)
 SELECT 'unresolved_link' AS kind, source AS subject, concat_ws(' ', reason, kind, target || coalesce('#' || anchor, ''), line::VARCHAR) AS detail FROM g WHERE reason IS NOT NULL
 UNION ALL SELECT 'invalid_frontmatter', id || '.md', 'unclosed frontmatter' FROM n WHERE broken
 UNION ALL SELECT 'path_heavy_prose', path, '' FROM m WHERE type IN ('project', 'project-doc') AND doc_id % 6 > 3
@@ -149,13 +149,25 @@ UNION ALL SELECT 'parents_on_non_project', path, '' FROM m WHERE type = 'paper'
 UNION ALL SELECT 'missing_source', path, head FROM h WHERE k > 1
 UNION ALL SELECT 'unregistered_source_ref', path, src FROM m WHERE doc_id % 7 > 4
 UNION ALL SELECT 'unregistered_repo_ref', path, repo FROM m WHERE doc_id % 5 > 3
-UNION ALL SELECT 'stale_repo_ref', path, repo || ' abc1234' FROM m WHERE doc_id % 5 <= 3 AND doc_id % 3 <> 0""")
-def lint_vault(spark, sf_dir):
+UNION ALL SELECT 'stale_repo_ref', path, repo || ' abc1234' FROM m WHERE doc_id % 5 <= 3 AND doc_id % 3 <> 0"""
+
+
+def _lint(spark, sf_dir):
     heads = spark.range(4).select(F.concat(F.lit("repos/r"), "id").alias("path"), F.lit("abc1234").alias("head"))
     sources = spark.range(5).select(F.concat(F.lit("s"), "id").alias("source_id"))
     return lint.lint(_files(spark, sf_dir), _notes(spark, sf_dir), heads, sources, heads.where("path < 'repos/r2'"))
 
 
+@query(_LINT)
+def lint_rules(spark, sf_dir):
+    return _lint(spark, sf_dir)
+
+
+@query(f"SELECT kind, count(*)::BIGINT AS n FROM ({_LINT}) GROUP BY kind")
+def issue_counts(spark, sf_dir):
+    return rules.issue_counts(_lint(spark, sf_dir))
+
+
 @query(f"""WITH {_SQL}, {_SECTIONS} SELECT id AS note_id, path AS anchor, type AS note_type, id || '::' || substr(sha256('["' || id || '", ["' || replace(path, '#', '", "') || '"], 1]'), 1, 24) AS chunk_id FROM s WHERE NOT broken AND path <> 'Overview#Evidence Map'""")
 def semantic_chunk_ids(spark, sf_dir):
     return knowledge_graph.semantic_chunks(_notes(spark, sf_dir)).select("note_id", "anchor", "note_type", "chunk_id")
