@@ -153,7 +153,7 @@ def test_windows_against_a_plain_score():
 
     def size(content, data):
         params = zstandard.ZstdCompressionParameters(
-            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=20, hash_log=17, chain_log=17, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=21, hash_log=17, chain_log=17, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
         )
         return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content + bytes(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(data))
 

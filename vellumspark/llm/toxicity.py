@@ -43,8 +43,8 @@ from pyspark.sql import types as T
 from .common import frugal, held_out, worker_keeps
 
 FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 1500, 6000, 24 << 20
-#: Bytes of either trained dictionary, and the trainer's segment and match lengths.
-DICTIONARY, SEGMENT, MATCH = 110_000, 16, 6
+#: Parts of the texts that are trained on apart, bytes of each part's dictionary, and the trainer's segment and match lengths.
+PARTS, DICTIONARY, SEGMENT, MATCH = 3, 64_000, 16, 6
 REPEAT, RATE, ROUNDS = 4, 0.3, 6
 #: Savings of so many bytes and more are one level.
 LEVELS = 5
@@ -59,6 +59,11 @@ def _lower(text: str) -> bytes:
 
 
 def _trained(texts: list[bytes]) -> bytes:
+    """The library's dictionaries of the parts of the texts, one after the other: what one misses, another has."""
+    return b"".join(_of_part(texts[k::PARTS]) for k in range(PARTS))
+
+
+def _of_part(texts: list[bytes]) -> bytes:
     """The library's dictionary of the texts; where it finds them too few, their own bytes."""
     import zstandard
 
@@ -73,7 +78,7 @@ def _compressor(content: bytes):
     import zstandard
 
     params = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=20, hash_log=17, chain_log=17, search_log=5, min_match=4, target_length=64,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=21, hash_log=17, chain_log=17, search_log=5, min_match=4, target_length=64,
         strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     content = content + bytes(16)  # the matcher does not index the last bytes of a dictionary
