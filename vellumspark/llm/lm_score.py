@@ -38,7 +38,7 @@ BATCH, PASS = 192, 512
 #: Of every 16 hash values of texts, those that each round trains on, and its rate.
 ROUNDS = (((0,), 0.01), ((1, 2, 3), 0.01), ((4, 5, 6, 7), 0.007), (tuple(range(8, 16)), 0.005))
 #: Ids that a training task has at least: fewer would leave its weights near where they began.
-TASK_IDS = 3_000_000
+TASK_IDS = 6_000_000
 #: Words whose ids one Python worker remembers, and the longest of them in bytes.
 MEMO_WORDS, MEMO_LENGTH = 500_000, 48
 
