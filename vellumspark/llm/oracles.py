@@ -48,4 +48,14 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 sum(length('<|turn|><|text|></s>') + {_ESCAPED.format("role")} + {_ESCAPED.format("text")})::BIGINT AS formatted_chars FROM c GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op2_decontamination": OP2, "op5_ngram_jaccard_join": OP5, "op8_embedding_near_dedup": OP8, "op10_chat_formatting": OP10}
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+l AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM d),
+f AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1))::BIGINT AS i, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1))::BIGINT AS j,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+p AS (SELECT *, array_to_string(u[1:i], '') AS a, array_to_string(u[i + 1:j], '') AS m, array_to_string(u[j + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+ORACLE_SQL = {"op2_decontamination": OP2, "op5_ngram_jaccard_join": OP5, "op8_embedding_near_dedup": OP8, "op10_chat_formatting": OP10, "op11_fill_middle": OP11}

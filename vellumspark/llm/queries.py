@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, lm_score, mixing, near_vectors, secrets, suffix_dedup, token_counts, toxicity
+from . import chat_format, decontaminate, fill_middle, jaccard_join, lm_score, mixing, near_vectors, secrets, suffix_dedup, token_counts, toxicity
 from .common import fresh_path
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -68,6 +68,10 @@ def op10_chat_formatting(spark, sf_dir):
     return found.drop("n_tokens", "loss_tokens")
 
 
+def op11_fill_middle(spark, sf_dir):
+    return fill_middle.digest_outputs(fill_middle.fill_middle(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_secret_scans, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting)
+    f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_secret_scans, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting, op11_fill_middle)
 }
