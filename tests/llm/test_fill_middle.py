@@ -47,9 +47,9 @@ def test_against_the_rule(spark, fim, spm):
 
 def test_other_units_and_marks(spark):
     docs = spark.createDataFrame([(k, "one two  three\nfour") for k in range(50)], "doc_id long, text string")
-    made = M.fill_middle(docs, pattern="[^ ]* |[^ ]+", marks=("[p]", "(s)", "|m|"))
+    made = M.fill_middle(docs, pattern="[^ ]* |[^ ]+", marks=("[p]", "(s)", "{m}"))
     assert {r.n for r in made.collect()} == {4}
-    assert {r.restored_sha256 for r in M.digest_outputs(made, ("[p]", "(s)", "|m|")).collect()} == {sha("one two  three\nfour")}
+    assert {r.restored_sha256 for r in M.digest_outputs(made, ("[p]", "(s)", "{m}")).collect()} == {sha("one two  three\nfour")}
     for marks in (("<P>", "<P>", "<M>"), ("<P>", "P", "<M>"), ("", "a", "b"), ("xax", "<S>", "<M>")):
         with pytest.raises(ValueError):
             M.fill_middle(docs, marks=marks)

@@ -58,4 +58,23 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a)::BIGINT END AS
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
 """
 
-ORACLE_SQL = {"op2_decontamination": OP2, "op5_ngram_jaccard_join": OP5, "op8_embedding_near_dedup": OP8, "op10_chat_formatting": OP10, "op11_fill_middle": OP11}
+_FRAMED = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_LEAF = f"sha256({_FRAMED} || coalesce(strlen({{0}}) || ':' || {{0}}, '-'))"
+#: Crc32 of the bytes of a decimal number, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+_RUNS = "{0} AS (SELECT g, level, idx // 8 AS run, list(digest ORDER BY idx) AS kids FROM {1} WHERE n > 1 GROUP BY ALL)"
+_NODES = "{0} AS (SELECT g, 0 AS level, idx, n, digest FROM {1} UNION ALL SELECT g, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM {0} WHERE n > 1 GROUP BY g, level, idx // 8, n)"
+_FOLD = "{0} AS (SELECT * FROM {1} UNION ALL SELECT f.* REPLACE (f.level + 1 AS level, f.idx // 8 AS idx, f.proof || array_to_string(kids[1:idx % 8], '') || array_to_string(kids[idx % 8 + 2:], '') AS proof, sha256(array_to_string(kids[1:idx % 8], '') || f.cur || array_to_string(kids[idx % 8 + 2:], '')) AS cur) FROM {0} f JOIN {2} r ON f.g = r.g AND f.level = r.level AND f.idx // 8 = r.run)"
+
+OP12 = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format("text")} AS digest, CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 3 = 0 THEN {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_NODES.format("x", "b")}, {_RUNS.format("xr", "x")},
+s AS MATERIALIZED (SELECT g AS lang, digest, '' AS g, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM x WHERE n = 1),
+{_NODES.format("y", "s")}, {_RUNS.format("yr", "y")},
+lf AS (SELECT g, 0 AS level, idx, doc_id, g AS lang, digest AS leaf, coalesce(changed, digest) AS cur, '' AS proof FROM b), {_FOLD.format("fx", "lf", "xr")},
+ll AS (SELECT '' AS g, 0 AS level, s.idx, fx.doc_id, s.digest AS subroot, leaf, cur, proof FROM fx JOIN s ON fx.lang = s.lang JOIN x ON x.g = fx.g AND x.level = fx.level AND x.n = 1), {_FOLD.format("fy", "ll", "yr")}
+SELECT doc_id, leaf, subroot, y.digest AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = y.digest AS verified FROM fy JOIN y ON y.level = fy.level AND y.n = 1
+"""
+
+ORACLE_SQL = {"op2_decontamination": OP2, "op5_ngram_jaccard_join": OP5, "op8_embedding_near_dedup": OP8, "op10_chat_formatting": OP10, "op11_fill_middle": OP11, "op12_merkle_manifest": OP12}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fill_middle, jaccard_join, lm_score, mixing, near_vectors, secrets, suffix_dedup, token_counts, toxicity
-from .common import fresh_path
+from . import chat_format, decontaminate, fill_middle, jaccard_join, lm_score, merkle, mixing, near_vectors, secrets, suffix_dedup, token_counts, toxicity
+from .common import fresh_path, held_out, lower_ascii, materialize
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -72,6 +72,14 @@ def op11_fill_middle(spark, sf_dir):
     return fill_middle.digest_outputs(fill_middle.fill_middle(_table(spark, sf_dir, "documents")))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    manifest = merkle.build_manifest(merkle.document_leaves(docs, held_out("doc_id", 3, 0), lower_ascii("text")))
+    found = materialize(merkle.digest_proofs(merkle.proofs(manifest)), "merkle-result")
+    manifest.discard()
+    return found
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_secret_scans, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting, op11_fill_middle)
+    f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_secret_scans, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting, op11_fill_middle, op12_merkle_manifest)
 }
