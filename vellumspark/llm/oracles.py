@@ -77,4 +77,11 @@ ll AS (SELECT '' AS g, 0 AS level, s.idx, fx.doc_id, s.digest AS subroot, leaf,
 SELECT doc_id, leaf, subroot, y.digest AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = y.digest AS verified FROM fy JOIN y ON y.level = fy.level AND y.n = 1
 """
 
-ORACLE_SQL = {"op2_decontamination": OP2, "op5_ngram_jaccard_join": OP5, "op8_embedding_near_dedup": OP8, "op10_chat_formatting": OP10, "op11_fill_middle": OP11, "op12_merkle_manifest": OP12}
+OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+w AS (SELECT x, max(page_id) AS last FROM p WHERE strlen(x) >= 1000 GROUP BY x)
+SELECT page_id, strlen(p.x)::BIGINT AS payload_bytes, sha1(p.x) AS payload_digest, CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN last IS DISTINCT FROM page_id THEN last END AS refers_to FROM p LEFT JOIN w ON p.x = w.x
+"""
+
+ORACLE_SQL = {"op2_decontamination": OP2, "op5_ngram_jaccard_join": OP5, "op8_embedding_near_dedup": OP8, "op10_chat_formatting": OP10, "op11_fill_middle": OP11, "op12_merkle_manifest": OP12, "op13_warc": OP13}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fill_middle, jaccard_join, lm_score, merkle, mixing, near_vectors, secrets, suffix_dedup, token_counts, toxicity
-from .common import fresh_path, held_out, lower_ascii, materialize
+from . import chat_format, decontaminate, fill_middle, jaccard_join, lm_score, merkle, mixing, near_vectors, secrets, suffix_dedup, token_counts, toxicity, warc
+from .common import discard, fresh_path, held_out, lower_ascii, materialize
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -80,6 +80,16 @@ def op12_merkle_manifest(spark, sf_dir):
     return found
 
 
+def op13_warc(spark, sf_dir):
+    pages, folder = _table(spark, sf_dir, "pages"), fresh_path(spark, "warc-archives")
+    entries = warc.write_archives(pages, folder)
+    index = warc.build_index(entries, folder)
+    found = materialize(index.read(index.lookup(pages.select("url"))).drop("url", "payload"), "warc-result")
+    index.discard(spark)
+    discard(spark, entries)
+    return found
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_secret_scans, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting, op11_fill_middle, op12_merkle_manifest)
+    f.__name__: f for f in (op1_lm_scoring, op2_decontamination, op3_secret_scans, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_token_counts, op7_toxicity, op8_embedding_near_dedup, op9_source_mixing, op10_chat_formatting, op11_fill_middle, op12_merkle_manifest, op13_warc)
 }
