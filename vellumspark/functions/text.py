@@ -92,3 +92,11 @@ def source_ref(text: Column | str) -> Column:
 
 def safe_id(text: Column | str) -> Column:
     return _col(text).rlike("^[A-Za-z0-9][A-Za-z0-9._-]{0,119}$") & ~F.contains(_col(text), F.lit(".."))
+
+
+def free_column(name: str, *taken: list[str]) -> str:
+    """``name`` with as many underscores behind it as keep it apart from the ``taken`` ones, whatever their case."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name

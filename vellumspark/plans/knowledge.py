@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumspark.operators import graph, links, rules
+from vellumspark.operators.intervals import interval_join
 from vellumspark.plans.registry import query, table
 
 # Links --------------------------------------------------------------------
@@ -151,7 +152,7 @@ SELECT note, line::BIGINT AS line, part FROM (SELECT e.note, e.line, s.part, row
 def reuse_range_join(spark, sf_dir):
     s = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as note", "l_linenumber as part", "l_linenumber * 10 as lo", "l_linenumber * 10 + cast(l_quantity as int) % 15 as hi")
     e = table(spark, sf_dir, "orders").selectExpr("o_orderkey as note", "cast(o_orderkey % 60 + 8 as bigint) as line")
-    held = e.join(s, "note").where("line between lo and hi")
+    held = interval_join(e, s, ["note"], "line", "lo", "hi", bucket=16)
     return held.groupBy("note", "line").agg(F.min(F.struct("lo", "part")).alias("m")).select("note", "line", "m.part")
 
 
