@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark.operators.components import strong_components
+
 
 def cut(frame: DataFrame) -> DataFrame:
     """``frame`` checkpointed where a checkpoint folder is set; without one (tests), kept in memory."""
@@ -37,27 +39,13 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
 
 
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """(id): nodes that reach themselves.  Nodes without a way in or out go first, round by round, so that only what
-    lies between cycles is closed."""
-    return closure(between_cycles(edges)).where("start = node").select(F.col("node").alias("id"))
-
-
-def between_cycles(edges: DataFrame) -> DataFrame:
-    """The (source, target) edges that are left when nodes without an edge in or without one out are taken away until
-    none is left."""
-    current, count = cut(edges.select("source", "target").distinct()), -1
-    while (n := current.count()) != count:
-        count = n
-        onward = current.join(current.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        current = cut(onward.join(onward.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
-    return current
+    """(id): nodes that reach themselves."""
+    return strong_components(edges).select("id")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
     """(cycle, id): the nodes that reach each other, each such set named by its least node."""
-    reach = closure(between_cycles(edges))
-    back = reach.select(F.col("node").alias("start"), F.col("start").alias("node"))
-    return reach.join(back, ["start", "node"]).groupBy("start").agg(F.min("node").alias("cycle")).select("cycle", F.col("start").alias("id"))
+    return strong_components(edges)
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:

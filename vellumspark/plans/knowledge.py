@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumspark.operators import graph, links, rules
+from vellumspark.operators.components import strong_components, witness_cycles
 from vellumspark.operators.intervals import interval_join
 from vellumspark.plans.registry import query, table
 
@@ -119,6 +120,15 @@ def cycle_flag(spark, sf_dir):
     return graph.on_cycle(_ring(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT source, target FROM ({_RING})), r AS (SELECT source AS start, target AS node FROM e UNION SELECT r.start, e.target FROM r JOIN e ON r.node = e.source),
+c AS (SELECT a.start AS id, min(a.node) AS cycle FROM r a JOIN r b ON a.start = b.node AND a.node = b.start GROUP BY a.start),
+w AS (SELECT DISTINCT cycle, 0 AS position, cycle AS id FROM c UNION ALL SELECT w.cycle, position + 1, e.target FROM w JOIN e ON w.id = e.source WHERE e.target <> w.cycle)
+SELECT cycle, position::BIGINT AS position, id FROM w""")
+def cycle_witness(spark, sf_dir):
+    ring = _ring(spark, sf_dir)
+    return witness_cycles(ring, strong_components(ring))
+
+
 @query(f"""WITH RECURSIVE r AS (SELECT child AS node FROM ({_TREE}) WHERE parent IN (1, 4) UNION SELECT e.child FROM r JOIN ({_TREE}) e ON r.node = e.parent)
 SELECT node AS id FROM r WHERE node NOT IN (1, 4)""")
 def transitive_impact(spark, sf_dir):
