@@ -1,6 +1,6 @@
 """The registered queries and the SQL they must agree with."""
 
-from vellumspark.plans import drafts, extensions, gate, knowledge, notes, retrieval, reuse  # noqa: F401
+from vellumspark.plans import drafts, extensions, gate, knowledge, notes, retrieval, reuse, search  # noqa: F401
 from vellumspark.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -24,7 +24,7 @@ def notes(files: DataFrame, root: str = "") -> DataFrame:
     name = F.regexp_replace("path", "^(file:)?/*" + root.strip("/").replace(".", "\\.") + "/*" if root else "^$", "")
     return parsed.select(
         F.regexp_replace(name, "\\.[^./]*$", "").alias("id"), "path", first("type").alias("note_type"), first("learning_kind").alias("learning_kind"), F.coalesce(first("origin"), F.lit("human")).alias("origin"),
-        note["properties"].alias("properties"), note["body"].alias("body"), note["offset"].alias("body_line_offset"), note["error"].alias("parse_error"),
+        note["properties"].alias("properties"), note["lists"].alias("list_properties"), note["body"].alias("body"), note["offset"].alias("body_line_offset"), note["error"].alias("parse_error"),
     )
 
 
