@@ -6,36 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.operators.components import strong_components
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """``frame`` checkpointed where a checkpoint folder is set; without one (tests), kept in memory."""
-    spark = frame.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint() if folder else frame.persist()
-
-
-def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(start, node): nodes reached over (source, target) edges by one step or more.
-
-    A frontier joins the edges round by round and only new pairs go on, so
-    cycles end and no path is walked twice; each round is written where a
-    checkpoint folder is set.
-    """
-    edges = edges.select("source", "target").distinct()
-    frontier = edges.select(F.col("source").alias("start"), F.col("target").alias("node"))
-    if seeds is not None:
-        frontier = frontier.join(seeds.select(F.col("id").alias("start")), "start", "left_semi")
-    reached = frontier = cut(frontier.distinct())
-    while True:
-        onward = frontier.join(edges, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
-        frontier = cut(onward.join(reached, ["start", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        reached = cut(reached.unionByName(frontier))
-    return reached
+from vellumspark.tables import dropped, written
 
 
 def on_cycle(edges: DataFrame) -> DataFrame:
@@ -58,8 +29,28 @@ def multi_parent(edges: DataFrame) -> DataFrame:
     return edges.groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias("parents")).where(F.size("parents") > 1)
 
 
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(label, id): what each label's ``seeds`` (label, id) reach over (source, target) edges, themselves included.
+
+    Only what a round adds goes on to the next, and each round is written, so that cycles end and lineage stays short."""
+    step = edges.select(F.col("source").alias("id"), "target").distinct()
+    known = added = written(seeds.select("label", "id").distinct(), "reach")
+    rounds = [known]
+    while True:
+        new = added.join(step, "id").select("label", F.col("target").alias("id")).distinct().join(known, ["label", "id"], "left_anti")
+        added = written(new, "reach")
+        if added.isEmpty():
+            return known
+        rounds.append(added)
+        known = known.unionByName(added)
+        if len(rounds) > 8:  # one table again instead of one a round
+            known = written(known, "reach")
+            dropped(*rounds[:-1])
+            rounds = [rounds[-1], known]
+
+
 def transitive_impact(edges: DataFrame, direct: DataFrame) -> DataFrame:
     """Nodes that derive from the ``direct`` ones over (source derived from target), without these."""
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    reached = closure(back, direct).select(F.col("node").alias("id")).distinct()
+    reached = reach(back, direct.select(F.lit(0).alias("label"), "id")).select("id")
     return reached.join(direct.select("id"), "id", "left_anti")

@@ -32,10 +32,11 @@ class NoteGraph:
     sources: DataFrame
 
 
-def build_graph(notes: DataFrame) -> NoteGraph:
+def build_graph(notes: DataFrame, links: DataFrame | None = None, places: DataFrame | None = None) -> NoteGraph:
+    """``links`` and ``places`` are those of :func:`vellumspark.sources.vault.links` and :func:`anchors` where they are kept."""
     index = alias_index(vault.note_names(notes))
-    resolved = resolve_links(vault.links(notes), index)
-    checked = check_anchors(resolved.withColumn("anchor", F.nullif("anchor", F.lit(""))), anchors(notes))
+    resolved = resolve_links(vault.links(notes) if links is None else links, index)
+    checked = check_anchors(resolved.withColumn("anchor", F.nullif("anchor", F.lit(""))), anchors(notes) if places is None else places)
     reason = F.when(F.col("target").isNull(), "missing_or_ambiguous_note").when(F.col("state").isin("missing_anchor", "ambiguous_anchor"), F.col("state"))
     named = distinct_edges(checked.select("source", F.coalesce("target", "note").alias("target"), "kind", "anchor", "line", "context", F.col("target").isNotNull().alias("found"), reason.alias("reason")))
     refs = vault.note_source_refs(notes).where("not inline").select("id", "ref").distinct()

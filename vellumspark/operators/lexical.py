@@ -50,7 +50,7 @@ def bm25(
 ) -> DataFrame:
     """The k best documents as (id, score, matched): descending score, then id.
 
-    Terms are those of the query's token set.  A title hit adds 2.0 a term, else
+    Terms are those of the query's token set; title, properties and body are one text.  A title hit adds 2.0 a term, else
     a property hit 0.5; the whole phrase in title, properties or body adds 2.5
     (and alone makes a hit); learning notes count 1.25, project documents 1.35
     times.  No terms or k < 1 give no rows.
@@ -58,9 +58,9 @@ def bm25(
     terms = sorted(set(terms))
     if not terms or k < 1:
         return docs.select(F.col(id_col), F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched")).limit(0)
-    bag = tokens(text_col)
     counts = [_times(F.col("bag"), w) for w in terms]
     none = F.lit(None).cast("string")
+    bag = tokens(F.concat_ws(" ", *(c if c is not None else none for c in (title, properties)), F.col(text_col)))
     base = docs.select(F.col(id_col), bag.alias("bag"), *((c if c is not None else none).alias(n) for n, c in (("title", title), ("props", properties), ("kind", kind))), F.col(text_col).alias("body"))
     base = base.select(id_col, F.size("bag").cast("double").alias("len"), *(c.alias(f"tf{i}") for i, c in enumerate(counts)), *_extras(terms, phrase), "kind")
     stats = base.agg(F.count("*").cast("double").alias("n"), F.greatest(F.lit(1.0), F.avg("len")).alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))))

@@ -33,10 +33,13 @@ _KIND = "CASE WHEN source IN ('src1', 'src2') THEN 'learning' WHEN source = 'src
 _BOOST = " + ".join(f"({_PART.format(i=i)}) + CASE WHEN list_contains(ttoks, '{t}') THEN 2.0::DOUBLE WHEN list_contains(ptoks, '{t}') THEN 0.5::DOUBLE ELSE 0::DOUBLE END" for i, t in enumerate(TERMS))
 
 
-@query(f"""{_BASE}, extra AS (SELECT *, list_transform(regexp_extract_all(title, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS ttoks,
-  list_transform(regexp_extract_all(props, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS ptoks, {_KIND} AS kind
-  FROM (SELECT *, split_part(text, ' ', 1) AS title, lang || ' ' || split_part(text, ' ', 2) AS props FROM base)),
-scored AS (SELECT doc_id, round(({_BOOST} + CASE WHEN contains(lower(title || ' ' || props || ' ' || text), 'of the') THEN 2.5::DOUBLE ELSE 0::DOUBLE END)
+#: Title, properties and text are tokenized as one text.
+_WHOLE = _BASE.replace("FROM documents)", "FROM (SELECT * REPLACE (title || ' ' || props || ' ' || text AS text), text AS own FROM (SELECT *, split_part(text, ' ', 1) AS title, lang || ' ' || split_part(text, ' ', 2) AS props FROM documents)))", 1)
+
+
+@query(f"""{_WHOLE}, extra AS (SELECT *, list_transform(regexp_extract_all(title, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS ttoks,
+  list_transform(regexp_extract_all(props, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS ptoks, {_KIND} AS kind FROM base),
+scored AS (SELECT doc_id, round(({_BOOST} + CASE WHEN contains(lower(text), 'of the') THEN 2.5::DOUBLE ELSE 0::DOUBLE END)
   * CASE kind WHEN 'project-doc' THEN 1.35::DOUBLE WHEN 'learning' THEN 1.25::DOUBLE ELSE 1::DOUBLE END, 5) AS score FROM extra, stats)
 SELECT * FROM scored WHERE score <> 0 ORDER BY score DESC, doc_id LIMIT 50""")
 def bm25_boosted(spark, sf_dir):
