@@ -44,3 +44,17 @@ def dropped(*frames: DataFrame) -> None:
     for frame in frames:
         if path := getattr(frame, "_vellum_path", None):
             delete_path(frame.sparkSession, path)
+
+
+def full_uri(spark: SparkSession, path: str) -> str:
+    """A path with the scheme by which the session finds it, as readers outside the JVM want it."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, none if there is no such folder."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(jpath) if s.isDirectory()) if files.exists(jpath) else []
