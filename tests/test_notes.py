@@ -1,6 +1,8 @@
 import pytest
 
 from vellumspark.functions import markdown as M
+from vellumspark.operators import knowledge_graph
+from vellumspark.operators.links import check_anchors
 from vellumspark.sources import vault
 
 
@@ -15,6 +17,24 @@ def test_frontmatter_values():
     assert n.lists == {"aliases", "tags", "empty"}
 
 
+def test_frontmatter_keys_and_quotes():
+    n = M.parse_note(block("url:http://x/y#z", "key : v", "q:'it # x' # c", "e: []", "l: ['a, b', \"c\\\"d\", 'e''f'] # c", "items :", "- \"x: y\"", " # note", "  -  z"))
+    assert n.error is None and n.properties == {"url": ["http://x/y#z"], "key": ["v"], "q": ["it # x"], "e": [], "l": ["a, b", 'c"d', "e'f"], "items": ["x: y", "z"]}
+    for lines in (["l: [don't, x]"], ["- "], ["a b: c"], [": x"], ["a: b", "- c"], ["plain"], ["a: 'x' y'z"]):
+        assert M.parse_note(block(*lines)).error, lines
+
+
+def test_quotes_in_links_and_written_aliases(spark):
+    found = M.body_links("[[\"N|l\"]] [[ 'N#a' ]]")
+    assert [(x["note"], x["anchor"], x["label"]) for x in found] == [("N", None, "l"), ("N", "a", None)]
+    rows = [("v/one.md", block("type: learning", "aliases: it's")), ("v/two.md", block("type: learning", "aliases: [\"it's\", 'say \"x\"', 'b\\n', \"both ' and \\\"\"]")), ("v/none.md", block("type: learning")), ("v/blocks.md", "[[one#^B]] [[one#^b]] [[ONE#x]]\n"), ("v/w.md", block("type: learning") + "text ^b")]
+    notes = vault.notes(spark.createDataFrame(rows, "path string, text string"))
+    texts = {r.note_id: r.text.split("\n")[1] for r in knowledge_graph.semantic_chunks(notes).where("heading = 'Document'").collect()}
+    assert texts == {"v/one": "Aliases: it's", "v/two": "Aliases: " + str(["it's", 'say "x"', "b\\n", "both ' and \""]), "v/none": "Aliases: []", "v/w": "Aliases: []"}
+    links = spark.createDataFrame([("v/w", "^b"), ("v/w", "^B"), ("v/w", "none")], "target string, anchor string")
+    assert {r.anchor: r.state for r in check_anchors(links, knowledge_graph.anchors(notes)).collect()} == {"^b": "resolved", "^B": "missing_anchor", "none": "missing_anchor"}
+
+
 @pytest.mark.parametrize("lines", [["a: 1", "a: 2"], ["  a: 1"], ["- x"], ["a: {b: c}"], ["a: 'open"], ["a: >"], ["1a: x"], ["a: [b"], ["a: &x y"]])
 def test_frontmatter_is_refused(lines):
     n = M.parse_note(block(*lines))

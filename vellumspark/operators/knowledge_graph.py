@@ -94,14 +94,18 @@ def semantic_chunks(notes: DataFrame) -> DataFrame:
     heading path and occurrence, so it stays while they do."""
     kept = notes.where(F.col("note_type").isin(*EMBEDDED))
     parts = vault.sections(kept).where(~F.exists("heading_path", lambda h: F.lower(h).isin(*EVIDENCE_MAP)))
-    joined = parts.join(kept.select("id", "path", "note_type", "learning_kind", F.col("properties")["aliases"].alias("aliases")), "id")
+    joined = parts.join(kept.select("id", "path", "note_type", "learning_kind", F.col("properties")["aliases"].alias("aliases"), F.coalesce(F.array_contains("list_properties", "aliases"), F.lit(False)).alias("several")), "id")
     quoted = lambda column: F.to_json(F.array(column))
     inside = lambda json_: F.substring(json_, F.lit(2), F.length(json_) - 2)
     path = F.concat(F.lit("["), F.array_join(F.transform("heading_path", lambda h: inside(quoted(h))), ", "), F.lit("]"))
     identity = F.concat(F.lit("["), inside(quoted(F.col("id"))), F.lit(", "), path, F.lit(", "), F.col("occurrence").cast("string"), F.lit("]"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "")
-    # The template writes a list of aliases as ['a', 'b'].
-    names = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.concat(F.lit("'"), a, F.lit("'"))), ", "), F.lit("]"))
+    # The template writes a list of aliases as ['a', "b's"], a single alias as it is, none as [].
+    escaped = lambda a: F.replace(F.replace(F.replace(F.replace(a, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    single = lambda a: F.contains(a, F.lit("'")) & ~F.contains(a, F.lit('"'))
+    written_out = lambda a: F.when(single(a), F.concat(F.lit('"'), escaped(a), F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(escaped(a), F.lit("'"), F.lit("\\'")), F.lit("'")))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), written_out), ", "), F.lit("]"))
+    names = F.when(F.col("several") | F.col("aliases").isNull(), listed).otherwise(F.try_element_at("aliases", F.lit(1)))
     text = F.concat(F.lit("Title: "), stem, F.lit("\nAliases: "), names, F.lit("\nType: "), "note_type", F.lit("\nHeading: "), F.array_join("heading_path", " / "), F.lit("\n"), "body")
     return joined.withColumn("text", text).select(
         F.concat("id", F.lit("::"), F.substring(F.sha2(identity, 256), 1, 24)).alias("chunk_id"), F.col("id").alias("note_id"), "path", "note_type", "learning_kind", "heading", "heading_path", "anchor", "occurrence", "start_line", "end_line", "text", F.sha2("text", 256).alias("content_hash")

@@ -11,7 +11,7 @@ from vellumspark.functions.markdown import casefold_udf
 def split_link(value: Column) -> Column:
     """STRUCT(note, anchor, label) of a link: the first ``|`` ends the target, the
     first ``#`` the note."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(value), "^[\"']|[\"']$", ""), "^\\[\\[|\\]\\]$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.trim(value), "^[\"'`]+|[\"'`]+$", ""), "(?s)^\\[\\[(.*)\\]\\]$", "$1")
     target = F.trim(F.substring_index(bare, "|", 1))
     note = F.trim(F.substring_index(target, "#", 1))
     anchor = F.when(F.contains(target, F.lit("#")), F.trim(F.regexp_extract(target, "#(.*)$", 1)))
@@ -61,10 +61,11 @@ def reverse_index(pairs: DataFrame) -> DataFrame:
 
 
 def check_anchors(links: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``links`` (target, anchor) with ``state``: an anchor must match exactly one
-    heading, heading path or ``^block`` of its target, whatever its case."""
-    keyed = anchors.select(F.col("id").alias("target"), casefold_udf("anchor").alias("_a")).groupBy("target", "_a").agg(F.count("*").alias("_n"))
-    found = links.withColumn("_a", casefold_udf("anchor")).join(keyed, ["target", "_a"], "left")
+    """``links`` (target, anchor) with ``state``: an anchor must match exactly one heading or heading path of its target,
+    whatever its case, or exactly one ``^block`` mark as it is written."""
+    folded = F.when(F.startswith("anchor", F.lit("^")), F.col("anchor")).otherwise(casefold_udf("anchor"))
+    keyed = anchors.select(F.col("id").alias("target"), folded.alias("_a")).groupBy("target", "_a").agg(F.count("*").alias("_n"))
+    found = links.withColumn("_a", folded).join(keyed, ["target", "_a"], "left")
     state = F.when(F.col("anchor").isNull(), "none").when(F.col("_n").isNull(), "missing_anchor").when(F.col("_n") > 1, "ambiguous_anchor").otherwise("resolved")
     return found.select(*links.columns, state.alias("state"))
 

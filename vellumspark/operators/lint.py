@@ -43,6 +43,12 @@ def absolute_paths(files: DataFrame) -> DataFrame:
     return issues(files.where(F.contains("text", F.lit("/Users/")) | F.contains("text", F.lit("C:\\Users\\"))), "absolute_path", "path")
 
 
+def unclosed_blocks(files: DataFrame) -> DataFrame:
+    """Files that open a block of properties and close none, besides what the parser says of the note."""
+    opened = F.startswith("text", F.lit("---\n")) & ~F.contains(F.substring("text", 6, 1 << 30), F.lit("\n---"))
+    return issues(files.where(opened), "invalid_frontmatter", "path")
+
+
 def parent_issues(notes: DataFrame) -> DataFrame:
     """A parent link is compared by its target without quotes, brackets, label and heading."""
     projects = project_graph(notes)
@@ -74,7 +80,8 @@ def source_issues(notes: DataFrame, heads: DataFrame, sources: DataFrame, folder
     refs = vault.note_source_refs(notes).where("not inline").select("id", "ref").distinct().join(notes.select("id", "path"), "id")
     named = refs.where("ref like 'source:%'").withColumn("source_id", F.substring("ref", F.lit(8), F.length("ref")))
     repos = refs.where(~F.col("ref").startswith("source:") & F.col("ref").rlike("^" + REPO_REF)).select("path", "ref", F.regexp_extract("ref", REPO_REF, 1).alias("name"), F.regexp_extract("ref", REPO_REF, 2).alias("commit"))
-    known = heads.select(F.element_at(F.split("path", "/"), -1).alias("name"), "head")
+    # Of several paths with one last part the last one stands for all.
+    known = heads.groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.max_by("head", "path").alias("head"))
     both = repos.join(known, "name", "left")
     return report(
         issues(heads.join(folders.select("path"), "path", "left_anti"), "missing_source", "path", F.col("head")),
@@ -85,4 +92,4 @@ def source_issues(notes: DataFrame, heads: DataFrame, sources: DataFrame, folder
 
 
 def lint(files: DataFrame, notes: DataFrame, heads: DataFrame, sources: DataFrame, folders: DataFrame) -> DataFrame:
-    return report(link_issues(notes), style_issues(notes), absolute_paths(files), parent_issues(notes), source_issues(notes, heads, sources, folders))
+    return report(link_issues(notes), style_issues(notes), absolute_paths(files), unclosed_blocks(files), parent_issues(notes), source_issues(notes, heads, sources, folders))

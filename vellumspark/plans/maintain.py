@@ -53,3 +53,12 @@ def incremental_vault(spark, sf_dir):
     for state in (first, second):
         delete_path(spark, state.path)
     return found
+
+
+@query("SELECT 'vault/N' || doc_id AS id FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id // 3 FROM documents WHERE doc_id % 2 = 1)")
+def vault_orphans(spark, sf_dir):
+    """Notes that derive from none and that none derives from."""
+    state, _ = maintain.refresh(_files(table(spark, sf_dir, "documents")), new_path(spark, "vault-state"))
+    found = written(state.graph().orphans, "orphans")
+    delete_path(spark, state.path)
+    return found

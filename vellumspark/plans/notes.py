@@ -8,6 +8,7 @@ from vellumspark.functions.markdown import lines_udf
 from vellumspark.operators import knowledge_graph, lint, rules
 from vellumspark.plans.registry import query, table
 from vellumspark.sources import vault
+from vellumspark.tables import written
 
 #: The lines of a note before and after the document's text, as SQL that both engines read.
 _TYPE = "CASE doc_id % 4 WHEN 0 THEN 'project' WHEN 1 THEN 'project-doc' WHEN 2 THEN 'learning' ELSE 'paper' END"
@@ -39,6 +40,11 @@ def _notes(spark, sf_dir):
     return vault.notes(_files(spark, sf_dir).drop("doc_id"))
 
 
+def _parsed(spark, sf_dir):
+    """The notes as a table, for queries that read them more than once."""
+    return written(_notes(spark, sf_dir), "notes")
+
+
 @query(f"""WITH {_SQL} SELECT id, type AS note_type, CASE WHEN broken THEN NULL ELSE learning END AS learning_kind, CASE WHEN broken THEN NULL ELSE repo || '|' || src END AS refs,
 CASE WHEN broken OR doc_id % 4 IN (1, 2) OR doc_id % 8 = 7 THEN NULL WHEN doc_id % 4 = 3 THEN '[[N0]]' ELSE '[[N' || parent || ']]' || CASE WHEN second < 0 THEN '' ELSE '|[[N' || second || '|x]]' END END AS parents,
 CASE WHEN broken THEN 0 ELSE 6 END::BIGINT AS line_offset, broken, CASE WHEN broken THEN NULL ELSE sha256('# Overview' || chr(10) || text) END AS begin_sha256 FROM n""")
@@ -56,9 +62,9 @@ UNION ALL SELECT id, doc_id, type, broken, 2, 'Overview#' || CASE WHEN mapped TH
 UNION ALL SELECT id, doc_id, type, broken, 3, 'Overview#' || CASE doc_id % 5 WHEN 0 THEN '2. Evaluation' WHEN 1 THEN 'Task' ELSE 'Detail' END, 17 + feeds, 18 + feeds, NULL FROM n)"""
 
 
-@query(f"WITH {_SQL}, {_SECTIONS} SELECT id, path, 1::BIGINT AS occurrence, first::BIGINT AS start_line, last::BIGINT AS end_line, digest FROM s WHERE NOT broken")
+@query(f"WITH {_SQL}, {_SECTIONS} SELECT id, path, 1::BIGINT AS occurrence, first::BIGINT AS start_line, last::BIGINT AS end_line, digest FROM s UNION ALL SELECT id, '', 1, 1, 6, NULL FROM n WHERE broken")
 def sectionize(spark, sf_dir):
-    found = vault.sections(_notes(spark, sf_dir).where("parse_error is null"))
+    found = vault.sections(_notes(spark, sf_dir))
     digest = F.when(F.col("anchor") == "Overview", F.col("content_hash"))
     return found.select("id", F.col("anchor").alias("path"), F.col("occurrence").cast("long").alias("occurrence"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), digest.alias("digest"))
 
@@ -97,17 +103,17 @@ g AS (SELECT DISTINCT source, coalesce(target, note) AS target, kind, anchor, li
 
 @query(f"WITH {_SQL}, {_LINKS} SELECT source, target, kind, anchor, line::BIGINT AS line FROM g UNION ALL SELECT id, unnest([repo, src]), 'source_refs', NULL, NULL FROM n WHERE NOT broken")
 def graph_edges(spark, sf_dir):
-    return knowledge_graph.build_graph(_notes(spark, sf_dir)).edges.select("source", "target", "kind", "anchor", F.col("line").cast("long").alias("line"))
+    return knowledge_graph.build_graph(_parsed(spark, sf_dir)).edges.select("source", "target", "kind", "anchor", F.col("line").cast("long").alias("line"))
 
 
 @query(f"WITH {_SQL}, {_LINKS} SELECT source, target, kind, anchor, line::BIGINT AS line, reason FROM g WHERE reason IS NOT NULL")
 def wanted_links(spark, sf_dir):
-    return knowledge_graph.build_graph(_notes(spark, sf_dir)).wanted.select("source", "target", "kind", "anchor", F.col("line").cast("long").alias("line"), "reason")
+    return knowledge_graph.build_graph(_parsed(spark, sf_dir)).wanted.select("source", "target", "kind", "anchor", F.col("line").cast("long").alias("line"), "reason")
 
 
 @query(f"WITH {_SQL}, {_LINKS} SELECT id FROM n WHERE id NOT IN (SELECT source FROM g WHERE found) AND id NOT IN (SELECT target FROM g WHERE found)")
 def graph_orphans(spark, sf_dir):
-    return knowledge_graph.build_graph(_notes(spark, sf_dir)).orphans
+    return knowledge_graph.build_graph(_parsed(spark, sf_dir)).orphans
 
 
 _PROJECTS = """p AS (SELECT DISTINCT n.id, n.doc_id, x.k AS to_doc FROM n, LATERAL (SELECT n.parent AS k UNION ALL SELECT n.second WHERE n.second >= 0) x WHERE n.type = 'project'),
@@ -119,7 +125,7 @@ UNION SELECT child, child FROM e WHERE child = parent AND child NOT IN (SELECT a
 
 @query(f"WITH {_SQL}, {_PROJECTS} SELECT 'edge' AS what, parent AS a, child AS b FROM e UNION ALL SELECT kind, source, target FROM u UNION ALL SELECT 'root', id, NULL FROM n WHERE type = 'project' AND id NOT IN (SELECT child FROM e) UNION ALL SELECT 'cycle', cycle, id FROM c UNION ALL SELECT 'several', child, string_agg(parent, ',' ORDER BY parent) FROM e GROUP BY child HAVING count(*) > 1")
 def project_graph(spark, sf_dir):
-    g = knowledge_graph.project_graph(_notes(spark, sf_dir))
+    g = knowledge_graph.project_graph(_parsed(spark, sf_dir))
     none = F.lit(None).cast("string")
     rows = [g.edges.select(F.lit("edge"), "parent", "child"), g.unresolved.select("kind", "source", "target"), g.roots.select(F.lit("root"), "id", none), g.cycles.select(F.lit("cycle"), "cycle", "id"), g.several.select(F.lit("several"), "child", F.array_join("parents", ","))]
     first, *rest = (r.toDF("what", "a", "b") for r in rows)
@@ -135,6 +141,7 @@ _HEADS = "h AS (SELECT 'repos/r' || k AS path, 'abc1234' AS head, k FROM range(4
 _LINT = f"""WITH {_SQL}, {_LINKS}, {_PROJECTS}, {_HEADS}, m AS (SELECT *, id || '.md' AS path FROM n WHERE NOT broken)
 SELECT 'unresolved_link' AS kind, source AS subject, concat_ws(' ', reason, kind, target || coalesce('#' || anchor, ''), line::VARCHAR) AS detail FROM g WHERE reason IS NOT NULL
 UNION ALL SELECT 'invalid_frontmatter', id || '.md', 'unclosed frontmatter' FROM n WHERE broken
+UNION ALL SELECT 'invalid_frontmatter', id || '.md', '' FROM n WHERE broken
 UNION ALL SELECT 'path_heavy_prose', path, '' FROM m WHERE type IN ('project', 'project-doc') AND doc_id % 6 > 3
 UNION ALL SELECT 'PROVENANCE_MIGRATION_WARNING', path, '' FROM m WHERE type IN ('project', 'project-doc')
 UNION ALL SELECT 'evidence_map_not_last', path, '' FROM m WHERE type IN ('project', 'project-doc') AND mapped
@@ -155,7 +162,7 @@ UNION ALL SELECT 'stale_repo_ref', path, repo || ' abc1234' FROM m WHERE doc_id
 def _lint(spark, sf_dir):
     heads = spark.range(4).select(F.concat(F.lit("repos/r"), "id").alias("path"), F.lit("abc1234").alias("head"))
     sources = spark.range(5).select(F.concat(F.lit("s"), "id").alias("source_id"))
-    return lint.lint(_files(spark, sf_dir), _notes(spark, sf_dir), heads, sources, heads.where("path < 'repos/r2'"))
+    return lint.lint(_files(spark, sf_dir), _parsed(spark, sf_dir), heads, sources, heads.where("path < 'repos/r2'"))
 
 
 @query(_LINT)
@@ -170,4 +177,4 @@ def issue_counts(spark, sf_dir):
 
 @query(f"""WITH {_SQL}, {_SECTIONS} SELECT id AS note_id, path AS anchor, type AS note_type, id || '::' || substr(sha256('["' || id || '", ["' || replace(path, '#', '", "') || '"], 1]'), 1, 24) AS chunk_id FROM s WHERE NOT broken AND path <> 'Overview#Evidence Map'""")
 def semantic_chunk_ids(spark, sf_dir):
-    return knowledge_graph.semantic_chunks(_notes(spark, sf_dir)).select("note_id", "anchor", "note_type", "chunk_id")
+    return knowledge_graph.semantic_chunks(_parsed(spark, sf_dir)).select("note_id", "anchor", "note_type", "chunk_id")
