@@ -41,11 +41,11 @@ def check(spark, edges, kind="long"):
         assert all((a, b) in set(edges) for a, b in zip(nodes, nodes[1:] + nodes[:1])) and {want[n] for n in nodes} == {name}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_graphs(spark, seed):
     rng = random.Random(seed)
     n = 60
-    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range((50, 80, 140)[seed])]
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range((50, 110)[seed])]
     edges += [(200 + k, 201 + k) for k in range(20)] + [(300 + k, 300 + (k + 1) % 9) for k in range(9)] + [(305, 3), (4, 300), (400, 400), (edges[0][0], 500), (500, edges[0][1])]
     check(spark, edges + edges[:5])
 
