@@ -120,3 +120,13 @@ def test_evaluation(spark, index):
 def test_empty_vault(spark, tmp_path):
     stored = S.build_index(vault.notes(spark.createDataFrame([], "path string, text string")), f"file://{tmp_path}/index")
     assert stored.search("loss").count() == 0
+
+
+def test_snippet_of_lines_with_digits_at_their_ends(spark):
+    from pyspark.sql import functions as F
+
+    from vellumspark.functions.text import snippet
+
+    rows = [(0, "  call 0630 zu 100"), (1, "00\n 11 \n\n22 erst 2"), (2, "a\t\nb")]
+    got = spark.createDataFrame(rows, "id int, text string").select("id", snippet("text", F.array(F.lit("erst"), F.lit("zu"))).alias("s")).collect()
+    assert dict(got) == {0: "call 0630 zu 100", 1: "00 11 22 erst 2", 2: "a\t b"}

@@ -45,7 +45,8 @@ def tokens(text: Column | str) -> Column:
 
 def snippet(text: Column | str, terms: Column, width: int = 180, lead: int = 60) -> Column:
     """Stripped lines joined by spaces, cut around the first hit of any term."""
-    lines = F.filter(F.transform(F.split(_col(text), "\n"), F.trim), lambda line: line != "")
+    # A lambda of one argument: F.trim itself takes a second one, as which transform gives it the line's number.
+    lines = F.filter(F.transform(F.split(_col(text), "\n"), lambda line: F.regexp_replace(line, "^\\p{Zs}+|\\p{Zs}+$", "")), lambda line: line != "")
     flat = F.array_join(lines, " ")
     places = F.filter(F.transform(terms, lambda t: F.call_function("locate", F.lower(t), F.lower(flat))), lambda p: p > 0)
     first = F.coalesce(F.array_min(places), F.lit(1)) - 1
