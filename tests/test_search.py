@@ -130,3 +130,12 @@ def test_snippet_of_lines_with_digits_at_their_ends(spark):
     rows = [(0, "  call 0630 zu 100"), (1, "00\n 11 \n\n22 erst 2"), (2, "a\t\nb")]
     got = spark.createDataFrame(rows, "id int, text string").select("id", snippet("text", F.array(F.lit("erst"), F.lit("zu"))).alias("s")).collect()
     assert dict(got) == {0: "call 0630 zu 100", 1: "00 11 22 erst 2", 2: "a\t b"}
+
+
+def test_phrases_letter_by_letter_and_with_their_ends(spark, tmp_path):
+    files = spark.createDataFrame([("v/a.md", "we meet die straße\nthen"), ("v/b.md", "we meet die strasse then"), ("v/c.md", "we meet die STRAßE at ten")], "path string, text string")
+    notes = vault.notes(files, root="v").cache()
+    cases = spark.createDataFrame([(0, "die stras", "die stras"), (1, "die straße", "die straße\n"), (2, "die straße", "die straße")], "case_id long, query string, phrase string")
+    found = lambda fold, cases: {(r.case_id, r.path[2]) for index in [S.build_index(notes, f"{tmp_path}/{fold}", fold=fold)] for r in index.phrase_notes(index._asked(cases)).collect()}
+    assert found("lower", cases) == {(0, "b"), (1, "a"), (2, "a"), (2, "c")}
+    assert found("casefold", cases.drop("phrase")) == {(k, note) for k in range(3) for note in "abc"}

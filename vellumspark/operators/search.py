@@ -43,6 +43,15 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _ASCII.findall(text)] + _han_pieces(text)
 
 
+def lowered(text: str) -> str:
+    """``text`` in lower case, character by character: as long as before, ß stays apart from ss."""
+    return text.replace("İ", "i").replace("Σ", "σ").lower()
+
+
+#: How an index folds whole texts for phrases.
+FOLDS = {"casefold": str.casefold, "lower": lowered}
+
+
 def phrase_pieces(phrase: str) -> list[tuple[str, str]]:
     """(kind, text): what the terms of a text that holds the folded phrase must show.  A word at an end of the phrase may be
     part of a longer one: the term ends with it, begins with it or, if it is all there is, holds it."""
@@ -84,7 +93,7 @@ def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{path}/{name}")
 
 
-def note_terms(path: str, names: list[str], values: list[list[str]], lists: list[str], body: str) -> tuple[int, str, list[dict]]:
+def note_terms(path: str, names: list[str], values: list[list[str]], lists: list[str], body: str, fold: str = "casefold") -> tuple[int, str, list[dict]]:
     """(number of tokens, folded text, terms) of a note: of its title, its properties as written out, and its body.
 
     Terms that only the folded text has are kept for phrases, with a frequency of 0."""
@@ -93,33 +102,36 @@ def note_terms(path: str, names: list[str], values: list[list[str]], lists: list
     title = " ".join([stem.replace("-", " "), " ".join(properties.get("aliases") or [])])
     written_out = " ".join(str(list(v)) if name in lists else v[0] for name, v in properties.items())
     text = f"{title} {written_out} {body}"
-    bag, folded = words(text), text.casefold()
+    bag, folded = words(text), FOLDS[fold](text)
     counts, in_title, in_properties = Counter(bag), set(words(title)), set(words(written_out))
     terms = [{"term": t, "tf": n, "boost": TITLE_BOOST if t in in_title else PROPERTY_BOOST if t in in_properties else 0.0} for t, n in counts.items()]
     return len(bag), folded, terms + [{"term": t, "tf": 0, "boost": 0.0} for t in set(words(folded)) - counts.keys()]
 
 
-def _term_batches(batches):
-    for batch in batches:
-        for k in range(0, batch.num_rows, 200):
-            rows = []
-            for r in batch.slice(k, 200).to_pylist():
-                length, folded, terms = note_terms(r["path"], r["names"] or [], r["values"] or [], r["lists"] or [], r["body"] or "")
-                rows.append({**{n: r[n] for n in ("path", "id", "kind", "learning_kind", "offset")}, "length": length, "body": r["body"] or "", "folded": folded, "terms": terms})
-            yield pa.RecordBatch.from_pylist(rows, schema=_ROW_ARROW)
+def _term_batches(fold: str):
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                rows = []
+                for r in batch.slice(k, 200).to_pylist():
+                    length, folded, terms = note_terms(r["path"], r["names"] or [], r["values"] or [], r["lists"] or [], r["body"] or "", fold)
+                    rows.append({**{n: r[n] for n in ("path", "id", "kind", "learning_kind", "offset")}, "length": length, "body": r["body"] or "", "folded": folded, "terms": terms})
+                yield pa.RecordBatch.from_pylist(rows, schema=_ROW_ARROW)
+
+    return run
 
 
 def _bucket(column: str, n: int):
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
-def build_index(notes: DataFrame, path: str, buckets: int = BUCKETS, splits: int = SPLITS) -> SearchIndex:
-    """Writes the index of :func:`vellumspark.sources.vault.notes` under ``path``.
+def build_index(notes: DataFrame, path: str, buckets: int = BUCKETS, splits: int = SPLITS, fold: str = "casefold") -> SearchIndex:
+    """Writes the index of :func:`vellumspark.sources.vault.notes` under ``path``; phrases are compared by ``fold``, one of :data:`FOLDS`.
 
     Choose ``buckets`` so that one bucket of the postings is what a query may read."""
     spark = notes.sparkSession
     taken = notes.select("path", "id", F.col("note_type").alias("kind"), "learning_kind", F.col("body_line_offset").alias("offset"), F.map_keys("properties").alias("names"), F.map_values("properties").alias("values"), F.col("list_properties").alias("lists"), "body")
-    rows = written(taken.mapInArrow(_term_batches, _ROW), "index-rows")
+    rows = written(taken.mapInArrow(_term_batches(fold), _ROW), "index-rows")
     dealt = rows.drop("terms").withColumn("part", _bucket("path", buckets)).repartition("part", F.pmod(F.xxhash64("path"), F.lit(buckets * splits)))
     dealt.sortWithinPartitions("path").write.mode("overwrite").partitionBy("part").parquet(f"{path}/notes")
     posted = rows.select("path", "kind", "length", F.explode("terms").alias("t")).select("path", "kind", "length", "t.*").withColumn("bucket", _bucket("term", buckets))
@@ -131,7 +143,7 @@ def build_index(notes: DataFrame, path: str, buckets: int = BUCKETS, splits: int
     pieces = [F.transform(places, lambda k: F.substring("term", k, F.lit(1))), F.transform(places, lambda k: F.substring("term", k, F.lit(2))), F.transform(places, lambda k: F.substring("term", k, F.lit(GRAM)))]
     grams = _stored(spark, path, "terms").select(F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"), "term", "postings")
     grams.withColumn("bucket", _bucket("gram", buckets)).repartition("bucket").sortWithinPartitions("gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
-    rows.agg(F.count("*").alias("notes"), F.greatest(F.lit(1.0), F.coalesce(F.avg("length"), F.lit(0.0))).alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+    rows.agg(F.count("*").alias("notes"), F.greatest(F.lit(1.0), F.coalesce(F.avg("length"), F.lit(0.0))).alias("mean"), F.lit(buckets).alias("buckets"), F.lit(fold).alias("fold")).write.mode("overwrite").parquet(f"{path}/stats")
     dropped(rows)
     return SearchIndex(spark, path)
 
@@ -143,8 +155,8 @@ _ASKED = T.StructType([T.StructField("terms", T.ArrayType(T.StringType())), T.St
 
 
 @F.pandas_udf(_ASKED)
-def asked_udf(query: pd.Series) -> pd.DataFrame:
-    phrases = [(q or "").strip().casefold() for q in query]
+def asked_udf(query: pd.Series, phrase: pd.Series, fold: pd.Series) -> pd.DataFrame:
+    phrases = [FOLDS[f](p or "") for p, f in zip(phrase, fold)]
     return pd.DataFrame({"terms": [sorted(set(words(q or ""))) for q in query], "phrase": phrases, "pieces": [[{"kind": k, "piece": p} for k, p in phrase_pieces(x)] for x in phrases]})
 
 
@@ -197,8 +209,11 @@ class SearchIndex:
         return self._stats
 
     def _asked(self, cases: DataFrame) -> DataFrame:
-        """(case_id, terms, phrase, pieces); a query without a term asks for nothing."""
-        return cases.select("case_id", asked_udf("query").alias("a")).select("case_id", "a.*").where(F.size("terms") > 0)
+        """(case_id, terms, phrase, pieces); a query without a term asks for nothing.
+
+        The whole text that is searched is the query without blanks at its ends, or ``phrase`` as it is where cases have one."""
+        phrase = F.col("phrase") if "phrase" in cases.columns else F.regexp_replace("query", "(?U)^\\s+|\\s+\\z", "")
+        return cases.select("case_id", asked_udf("query", phrase, F.lit(self.stats()["fold"])).alias("a")).select("case_id", "a.*").where(F.size("terms") > 0)
 
     def phrase_notes(self, asked: DataFrame) -> DataFrame:
         """(case_id, path, kind) of the notes that hold a query's whole text."""
