@@ -100,3 +100,18 @@ def test_registry_and_records(spark, tmp_path):
     assert [(r.line_no, r.id) for r in good.collect()] == [(1, "1"), (5, "2")]
     assert [r.line_no for r in bad.collect()] == [3, 4]
     assert vault.config_value("a: 1\nvector: 'on'\n", "vector") == "on" and vault.flag("on") and not vault.flag(None)
+
+
+def test_workers_take_bounded_stretches_of_a_batch(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from vellumspark.functions.batches import arrow_rows_udf, cuts
+
+    texts = pa.array([None, "x" * 50, "", "é" * 10, "y" * 9, "z"])
+    found = cuts([texts, pa.array(range(6))], rows=4, size=40)
+    assert [k for a, n in found for k in range(a, a + n)] == list(range(6)) and len(found) > 2
+    assert cuts([pa.array([], pa.string())]) == []
+    whole = arrow_rows_udf(T.LongType(), lambda text, k: len(text) + k, 2)
+    many = spark.range(0, 5_000, 1, 1).selectExpr("id", "repeat('ab', cast(id % 900 as int)) AS t").select("id", whole("t", "id").alias("n"))
+    assert many.where("n <> id + 2 * (id % 900)").count() == 0 and many.count() == 5_000

@@ -6,20 +6,18 @@ its own references.  Texts stay out of both shuffles.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumspark.functions.batches import arrow_rows_udf
 from vellumspark.functions.markdown import draft_blocks
 from vellumspark.functions.text import machine_path, stated_counts, universal_wording
 
 _BLOCKS = T.ArrayType(T.StructType([T.StructField("refs", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())]))
 
 
-@F.pandas_udf(_BLOCKS)
-def blocks_udf(text: pd.Series) -> pd.Series:
-    return pd.Series([draft_blocks(t or "") for t in text])
+blocks_udf = arrow_rows_udf(_BLOCKS, lambda text: draft_blocks(text or ""))
 
 
 def traced_blocks(drafts: DataFrame) -> DataFrame:

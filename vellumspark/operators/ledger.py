@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumspark.functions.batches import arrow_rows_udf
 from vellumspark.functions.text import safe_id
 from vellumspark.operators.rules import latest_per_output
 
@@ -35,10 +35,7 @@ def canonical_json(text: str | None) -> tuple[str | None, bool, str | None]:
     return line, record.get("durable") is True, str(name)
 
 
-@F.pandas_udf(_RECORD)
-def canonical_udf(text: pd.Series) -> pd.DataFrame:
-    rows = [canonical_json(t) for t in text]
-    return pd.DataFrame({"line": [r[0] for r in rows], "durable": [r[1] for r in rows], "id": [r[2] for r in rows]})
+canonical_udf = arrow_rows_udf(_RECORD, lambda text: dict(zip(("line", "durable", "id"), canonical_json(text))))
 
 
 def _digest(order: list[Column], line: Column, keep: Column | None = None) -> Column:
