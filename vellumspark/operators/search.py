@@ -1,9 +1,8 @@
 """Search over a stored inverted index of notes: one call from a query to hits with section and snippet.
 
-``build_index`` writes, under one folder, notes (dealt to parts by path), postings (dealt to buckets by term, a bucket's in
-several files, so that a frequent term does not make one task's work), the dictionary of terms, its short
-substrings, and one row of statistics.  A search reads only the buckets of its terms and, for the hits, the parts of
-their notes.
+``build_index`` writes, under one folder, notes (dealt to parts by path), postings (a note's, dealt to buckets by term; each
+task writes its own file of a bucket, so that a frequent term does not make one task's work), the dictionary of terms, and one row of statistics.
+Only the dictionary is shuffled.  A search reads only the buckets of its terms and, for the hits, the parts of their notes.
 
 A query's whole text anywhere in a note adds a bonus, also inside longer words.  Notes that may hold it are found by the dictionary: of the
 phrase's pieces the one whose possible terms have the fewest postings gives candidates, whose texts are then searched.
@@ -15,8 +14,10 @@ row number with a limit, which Spark applies in each task before it shuffles.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumspark.functions.batches import arrow_rows_udf, cuts
 from vellumspark.functions.markdown import sections
 from vellumspark.operators.lexical import GAIN, K1, PHRASE_BONUS, PROPERTY_BOOST, TITLE_BOOST, TYPE_BOOST, B
 from vellumspark.tables import dropped, written
@@ -73,78 +75,78 @@ def excerpt(text: str, terms: list[str], width: int = 180, lead: int = 60) -> st
 # --------------------------------------------------------------------------
 # Building
 
-_TERM = "term string, tf int, boost double"
-_ROW = f"path string, id string, kind string, learning_kind string, offset int, length int, body string, folded string, terms array<struct<{', '.join(f.replace(' ', ':', 1) for f in _TERM.split(', '))}>>"
+_TERM = "array<struct<term:string,tf:int,boost:double>>"
+_NOTE = "path string, id string, kind string, learning_kind string, offset int, length int, head string, body string"
+_ROW = f"{_NOTE}, terms array<struct<bucket:int,items:{_TERM}>>"
+_ITEMS_ARROW = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32()), ("boost", pa.float64())]))
 _ROW_ARROW = pa.schema(
     [(n, pa.string()) for n in ("path", "id", "kind", "learning_kind")]
-    + [("offset", pa.int32()), ("length", pa.int32()), ("body", pa.string()), ("folded", pa.string()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32()), ("boost", pa.float64())])))]
+    + [("offset", pa.int32()), ("length", pa.int32()), ("head", pa.string()), ("body", pa.string()), ("terms", pa.list_(pa.struct([("bucket", pa.int32()), ("items", _ITEMS_ARROW)])))]
 )
 
 
 _SCHEMAS = {
-    "notes": "path string, id string, kind string, learning_kind string, offset int, length int, body string, folded string, part int",
-    "postings": "path string, kind string, length int, term string, tf int, boost double, bucket int",
+    "notes": f"{_ROW}, part int",
+    "postings": f"path string, kind string, length int, items {_TERM}, bucket int",
     "terms": "term string, df long, postings long, bucket int",
-    "grams": "gram string, term string, postings long, bucket int",
 }
 
 
 def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(_SCHEMAS[name]).parquet(f"{path}/{name}")
+    table = spark.read.schema(_SCHEMAS[name]).parquet(f"{path}/{name}")
+    return table.select("path", "kind", "length", F.inline("items"), "bucket") if name == "postings" else table
 
 
 def note_terms(path: str, names: list[str], values: list[list[str]], lists: list[str], body: str, fold: str = "casefold") -> tuple[int, str, list[dict]]:
-    """(number of tokens, folded text, terms) of a note: of its title, its properties as written out, and its body.
+    """(number of tokens, title and properties as written out, terms) of a note; the terms are those of both and of its body.
 
     Terms that only the folded text has are kept for phrases, with a frequency of 0."""
     properties = dict(zip(names, values))
     stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     title = " ".join([stem.replace("-", " "), " ".join(properties.get("aliases") or [])])
     written_out = " ".join(str(list(v)) if name in lists else v[0] for name, v in properties.items())
-    text = f"{title} {written_out} {body}"
+    head = f"{title} {written_out}"
+    text = f"{head} {body}"
     bag, folded = words(text), FOLDS[fold](text)
     counts, in_title, in_properties = Counter(bag), set(words(title)), set(words(written_out))
     terms = [{"term": t, "tf": n, "boost": TITLE_BOOST if t in in_title else PROPERTY_BOOST if t in in_properties else 0.0} for t, n in counts.items()]
-    return len(bag), folded, terms + [{"term": t, "tf": 0, "boost": 0.0} for t in set(words(folded)) - counts.keys()]
+    return len(bag), head, terms + [{"term": t, "tf": 0, "boost": 0.0} for t in set(words(folded)) - counts.keys()]
 
 
-def _term_batches(fold: str):
+def _term_batches(buckets: int, fold: str):
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
+            for k, n in cuts(batch.columns):
                 rows = []
-                for r in batch.slice(k, 200).to_pylist():
-                    length, folded, terms = note_terms(r["path"], r["names"] or [], r["values"] or [], r["lists"] or [], r["body"] or "", fold)
-                    rows.append({**{n: r[n] for n in ("path", "id", "kind", "learning_kind", "offset")}, "length": length, "body": r["body"] or "", "folded": folded, "terms": terms})
+                for r in batch.slice(k, n).to_pylist():
+                    length, head, terms = note_terms(r["path"], r["names"] or [], r["values"] or [], r["lists"] or [], r["body"] or "", fold)
+                    dealt = {}
+                    for t in terms:
+                        dealt.setdefault(zlib.crc32(t["term"].encode()) % buckets, []).append(t)
+                    rows.append({**{n: r[n] for n in ("path", "id", "kind", "learning_kind", "offset")}, "length": length, "head": head, "body": r["body"] or "", "terms": [{"bucket": b, "items": dealt[b]} for b in sorted(dealt)]})
                 yield pa.RecordBatch.from_pylist(rows, schema=_ROW_ARROW)
 
     return run
 
 
 def _bucket(column: str, n: int):
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    return F.pmod(F.crc32(F.col(column).cast("binary")), F.lit(n)).cast("int")
 
 
 def build_index(notes: DataFrame, path: str, buckets: int = BUCKETS, splits: int = SPLITS, fold: str = "casefold") -> SearchIndex:
     """Writes the index of :func:`vellumspark.sources.vault.notes` under ``path``; phrases are compared by ``fold``, one of :data:`FOLDS`.
 
-    Choose ``buckets`` so that one bucket of the postings is what a query may read."""
+    Choose ``buckets`` so that one bucket of the postings is what a query may read; a bucket of the dictionary has ``splits`` files at most."""
     spark = notes.sparkSession
     taken = notes.select("path", "id", F.col("note_type").alias("kind"), "learning_kind", F.col("body_line_offset").alias("offset"), F.map_keys("properties").alias("names"), F.map_values("properties").alias("values"), F.col("list_properties").alias("lists"), "body")
-    rows = written(taken.mapInArrow(_term_batches(fold), _ROW), "index-rows")
-    dealt = rows.drop("terms").withColumn("part", _bucket("path", buckets)).repartition("part", F.pmod(F.xxhash64("path"), F.lit(buckets * splits)))
-    dealt.sortWithinPartitions("path").write.mode("overwrite").partitionBy("part").parquet(f"{path}/notes")
-    posted = rows.select("path", "kind", "length", F.explode("terms").alias("t")).select("path", "kind", "length", "t.*").withColumn("bucket", _bucket("term", buckets))
-    salted = posted.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(splits))).sortWithinPartitions("bucket", "term")
-    salted.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    terms = _stored(spark, path, "postings").groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.count("*").alias("postings"))
-    terms.withColumn("bucket", _bucket("term", buckets)).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    places = F.sequence(F.lit(1), F.length("term"))
-    pieces = [F.transform(places, lambda k: F.substring("term", k, F.lit(1))), F.transform(places, lambda k: F.substring("term", k, F.lit(2))), F.transform(places, lambda k: F.substring("term", k, F.lit(GRAM)))]
-    grams = _stored(spark, path, "terms").select(F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"), "term", "postings")
-    grams.withColumn("bucket", _bucket("gram", buckets)).repartition("bucket").sortWithinPartitions("gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
-    rows.agg(F.count("*").alias("notes"), F.greatest(F.lit(1.0), F.coalesce(F.avg("length"), F.lit(0.0))).alias("mean"), F.lit(buckets).alias("buckets"), F.lit(fold).alias("fold")).write.mode("overwrite").parquet(f"{path}/stats")
-    dropped(rows)
+    # Each task deals its own rows to the parts and buckets; a note's terms stay in its row, from which the postings are read.
+    rows = taken.mapInArrow(_term_batches(buckets, fold), _ROW)
+    rows.withColumn("part", _bucket("path", buckets)).write.mode("overwrite").partitionBy("part").parquet(f"{path}/notes")
+    stored = _stored(spark, path, "notes")
+    stored.select("path", "kind", "length", F.inline("terms")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    terms = stored.select(F.explode("terms.items").alias("i")).select(F.inline("i")).groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.count("*").alias("postings"))
+    terms.withColumn("bucket", _bucket("term", buckets)).repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(splits))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    stored.agg(F.count("*").alias("notes"), F.greatest(F.lit(1.0), F.coalesce(F.avg("length"), F.lit(0.0))).alias("mean"), F.lit(buckets).alias("buckets"), F.lit(fold).alias("fold")).write.mode("overwrite").parquet(f"{path}/stats")
     return SearchIndex(spark, path)
 
 
@@ -181,10 +183,14 @@ def best_part(body: str, offset: int, weights: dict[str, float]) -> dict:
     return {"snippet": excerpt(best["body"] if best else body, sorted(weights)), **found}
 
 
-@F.pandas_udf(_BEST)
-def best_part_udf(body: pd.Series, offset: pd.Series, terms: pd.Series, weights: pd.Series) -> pd.DataFrame:
-    rows = [best_part(b or "", int(o or 0), dict(zip(t, w))) for b, o, t, w in zip(body, offset, terms, weights)]
-    return pd.DataFrame({f.name: [r[f.name] for r in rows] for f in _BEST})
+best_part_udf = arrow_rows_udf(_BEST, lambda body, offset, terms, weights: best_part(body or "", int(offset or 0), dict(zip(terms, weights))), 4)
+
+
+def _of_kind(kind: str):
+    return lambda gram: F.struct(F.lit(kind).alias("wanted"), gram.alias("gram"))
+
+
+holds_udf = arrow_rows_udf(T.BooleanType(), lambda head, body, phrase, fold: phrase in FOLDS[fold](f"{head} {body}"), 4)
 
 
 @dataclass
@@ -217,20 +223,28 @@ class SearchIndex:
 
     def phrase_notes(self, asked: DataFrame) -> DataFrame:
         """(case_id, path, kind) of the notes that hold a query's whole text."""
-        pieces = written(asked.select("case_id", F.posexplode("pieces").alias("at", "p")).select("case_id", "at", "p.kind", "p.piece", F.substring("p.piece", 1, GRAM).alias("gram")), "pieces")
+        wanted, piece = F.col("p.kind"), F.col("p.piece")
+        gram = F.when(wanted == "is", piece).when(wanted == "ends", F.right(piece, F.lit(GRAM))).otherwise(F.left(piece, F.lit(GRAM)))
+        pieces = written(asked.select("case_id", F.posexplode("pieces").alias("at", "p")).select("case_id", "at", wanted.alias("wanted"), piece.alias("piece"), gram.alias("gram")), "pieces")
         fits = {"holds": F.contains("term", F.col("piece")), "ends": F.endswith("term", F.col("piece")), "begins": F.startswith("term", F.col("piece")), "is": F.col("term") == F.col("piece")}
         fit = F.lit(False)
         for kind, test in fits.items():
             fit = F.when(F.col("wanted") == kind, test).otherwise(fit)
-        grams = self._read("grams", pieces.select(F.col("gram").alias("key")))
-        met = written(pieces.withColumnRenamed("kind", "wanted").join(grams, "gram").where(fit).select("case_id", "at", "term", "postings"), "piece-terms")
+        # The dictionary's terms by what a piece of a kind may be found with; only the kinds that are asked for.
+        sizes, places = F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("term"))), F.sequence(F.lit(1), F.length("term"))
+        shown = {"is": F.array("term"), "begins": F.transform(sizes, lambda k: F.left(F.col("term"), k)), "ends": F.transform(sizes, lambda k: F.right(F.col("term"), k))}
+        shown["holds"] = F.array_distinct(F.flatten(F.transform(places, lambda at: F.transform(sizes, lambda k: F.substring("term", at, k)))))
+        kinds = [r[0] for r in pieces.select("wanted").distinct().collect()]  # four at most
+        keys = F.concat(*(F.transform(shown[kind], _of_kind(kind)) for kind in kinds)) if kinds else F.array().cast("array<struct<wanted:string,gram:string>>")
+        grams = self._read("terms").select("term", "postings", F.inline(keys))
+        met = written(grams.join(pieces, ["wanted", "gram"]).where(fit).select("case_id", "at", "term", "postings"), "piece-terms")
         counted = pieces.select("case_id", "at").join(met.groupBy("case_id", "at").agg(F.sum("postings").alias("postings")), ["case_id", "at"], "left")
         least = counted.groupBy("case_id").agg(F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "at")).alias("m")).select("case_id", "m.at")
         chosen = met.join(least, ["case_id", "at"], "left_semi").select("case_id", "term")
         postings = self._read("postings", chosen.select(F.col("term").alias("key"))).select("term", "path")
         candidates = written(chosen.join(postings, "term").select("case_id", "path").distinct(), "candidates")
-        notes = self._read("notes", candidates.select(F.col("path").alias("key"))).select("path", "kind", "folded")
-        held = candidates.join(asked.select("case_id", "phrase"), "case_id").join(notes, "path").where(F.contains("folded", F.col("phrase")))
+        notes = self._read("notes", candidates.select(F.col("path").alias("key"))).select("path", "kind", "head", "body")
+        held = candidates.join(asked.select("case_id", "phrase"), "case_id").join(notes, "path").where(holds_udf("head", "body", "phrase", F.lit(self.stats()["fold"])))
         found = written(held.select("case_id", "path", "kind"), "phrase-notes")
         dropped(pieces, met, candidates)
         return found
@@ -248,18 +262,20 @@ class SearchIndex:
         postings = self._read("postings", terms.select(F.col("term").alias("key"))).where("tf > 0")
         tf = F.col("tf").cast("double")
         part = F.col("idf") * tf * GAIN / (tf + K1 * ((1 - B) + B * F.col("length") / mean)) + F.col("boost")
-        hits = postings.join(weighed, "term").groupBy("case_id", "path").agg(F.sum(part).alias("sum"), F.array_sort(F.collect_set("term")).alias("matched"), F.any_value("kind").alias("kind"))
+        factor = lambda kind: reduce(lambda f, x: F.when(kind == x[0], x[1]).otherwise(f), TYPE_BOOST.items(), F.lit(1.0))
+        # Numbers alone go with each hit: its words are looked up for the best.
+        hits = postings.join(weighed, "term").groupBy("case_id", "path").agg(F.sum(part).alias("sum"), F.max(factor(F.col("kind"))).alias("factor"))
         phrases = self.phrase_notes(asked)
-        both = hits.join(phrases.select("case_id", "path", F.col("kind").alias("phrase_kind"), F.lit(PHRASE_BONUS).alias("bonus")), ["case_id", "path"], "full_outer")
-        score = F.coalesce("sum", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))
-        kind, factor = F.coalesce("kind", "phrase_kind"), F.lit(1.0)
-        for name, times in TYPE_BOOST.items():
-            factor = F.when(kind == name, times).otherwise(factor)
-        scored = both.select("case_id", "path", F.round(score * factor, 5).alias("score"), F.coalesce("matched", F.array().cast("array<string>")).alias("matched"), (score * factor).alias("raw")).where("raw <> 0").drop("raw")
+        both = hits.join(phrases.select("case_id", "path", factor(F.col("kind")).alias("phrase_factor"), F.lit(PHRASE_BONUS).alias("bonus")), ["case_id", "path"], "full_outer")
+        score = (F.coalesce("sum", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))) * F.coalesce("factor", "phrase_factor")
+        scored = both.select("case_id", "path", F.round(score, 5).alias("score"), score.alias("raw")).where("raw <> 0").drop("raw")
         place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "path"))
-        best = written(scored.withColumn("rank", place.cast("long")).where(F.col("rank") <= k), "ranked")
+        top = written(scored.withColumn("rank", place.cast("long")).where(F.col("rank") <= k), "top")
+        words_ = postings.join(top.select("path").distinct(), "path", "left_semi").select("path", "term").join(weighed.select("case_id", "term"), "term")
+        matched = words_.join(top.select("case_id", "path"), ["case_id", "path"], "left_semi").groupBy("case_id", "path").agg(F.array_sort(F.collect_set("term")).alias("matched"))
+        best = written(top.join(matched, ["case_id", "path"], "left").select("case_id", "path", "score", F.coalesce("matched", F.array().cast("array<string>")).alias("matched"), "rank"), "ranked")
         queries = written(weighed.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("w")).select("case_id", F.col("w.term").alias("terms"), F.col("w.weight").alias("weights")), "queries")
-        dropped(asked, weighed, phrases)
+        dropped(asked, weighed, phrases, top)
         return best, queries
 
     def search_all(self, cases: DataFrame, k: int = 10) -> DataFrame:
