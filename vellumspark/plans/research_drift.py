@@ -13,24 +13,34 @@ _EDITED, _GONE = "i % 7 = 2 AND k % 4 = 1", "i % 11 = 3 AND k = 2"
 _STATE = "CASE i % 5 WHEN 0 THEN 'FACTS_READY' WHEN 1 THEN 'FACTS_FROZEN' WHEN 2 THEN 'CLAIMS_VERIFIED' ELSE 'COMMITTED' END"
 
 
+def _run():
+    return F.concat(F.lit("run-"), "i").alias("run_id")
+
+
 def _lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "line"))
 
 
-def _artifacts(lines, every):
-    run = F.concat(F.lit("run-"), "i").alias("run_id")
+def _claims(spark, sf_dir):
+    """Made text by text, without a shuffle."""
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    ids = F.transform(F.sequence(F.col("c") * 3, F.least(F.col("c") * 3 + 2, F.col("n") - 1)), lambda k: F.concat(F.lit("F-"), k.cast("string")))
+    counted = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), n.alias("n"))
+    claims = counted.select("i", "n", F.explode(F.sequence(F.lit(0), F.expr("cast((n - 1) div 3 as int)"))).alias("c"))
+    claim = F.to_json(F.struct(F.concat(F.lit("C-"), "c").alias("claim_id"), F.array_sort(ids).alias("support_fact_ids")))
+    return claims.select(_run(), F.lit("claims").alias("artifact"), F.col("c").cast("long").alias("line_no"), claim.alias("record"))
+
+
+def _artifacts(lines, claims):
     fact = F.to_json(F.struct(F.concat(F.lit("F-"), "k").alias("fact_id"), F.col("line").alias("statement")))
-    facts = lines.select(run, F.lit("facts").alias("artifact"), F.col("k").cast("long").alias("line_no"), fact.alias("record"))
-    number = F.expr("k div 3")
-    claims = every.groupBy("i", number.alias("c")).agg(F.array_sort(F.collect_list(F.concat(F.lit("F-"), "k"))).alias("ids"))
-    claim = F.to_json(F.struct(F.concat(F.lit("C-"), "c").alias("claim_id"), F.col("ids").alias("support_fact_ids")))
-    return facts.unionByName(claims.select(run, F.lit("claims").alias("artifact"), F.col("c").cast("long").alias("line_no"), claim.alias("record")))
+    facts = lines.select(_run(), F.lit("facts").alias("artifact"), F.col("k").cast("long").alias("line_no"), fact.alias("record"))
+    return facts.unionByName(claims)
 
 
 def _two(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
+    lines, claims = _lines(spark, sf_dir), _claims(spark, sf_dir)
     later = lines.where(f"not ({_GONE})").withColumn("line", F.when(F.expr(_EDITED), F.concat("line", F.lit("."))).otherwise(F.col("line")))
-    return _artifacts(lines, lines), _artifacts(later, lines)
+    return _artifacts(lines, claims), _artifacts(later, claims)
 
 
 _SQL = f"l AS (SELECT doc_id AS i, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents), h AS (SELECT *, CASE WHEN {_GONE} THEN 'removed' WHEN {_EDITED} THEN 'changed' END AS change FROM l)"
@@ -40,7 +50,7 @@ _SQL = f"l AS (SELECT doc_id AS i, unnest(range(0, len(string_split(coalesce(tex
 def touched_claims(spark, sf_dir):
     before, after = _two(spark, sf_dir)
     trees = [drift.build_tree(a, new_path(spark, "digest-tree")) for a in (before, after)]
-    found = written(drift.touched_claims(drift.changed_records(*trees), drift.read_records(after)), "touched-claims")
+    found = written(drift.touched_claims(drift.changed_records(*trees, "facts"), drift.read_records(after)), "touched-claims")
     for tree in trees:
         delete_path(spark, tree.path)
     return found
