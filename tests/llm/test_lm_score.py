@@ -1,4 +1,6 @@
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -94,6 +96,36 @@ def test_gradients_match_differences():
         assert abs((ends[0] - ends[1]) / 2e-4 - found) < 2e-5, k
 
 
+def test_tasks_reuse_memory():
+    """Arrays of a pass lie where those of the pass before lay: without that, a pass takes thousands of page faults."""
+    code = """if True:
+        import resource
+        import numpy as np
+        from tests.llm.test_lm_score import A, L, made
+        from types import SimpleNamespace
+        import pyarrow as pa
+        w, vocabulary, ids = made()
+        texts = [np.random.default_rng(k).choice(ids, 60000).tobytes() for k in range(4)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(range(4)), pa.array(texts)], names=["id", "h", "ids"])
+        run = L._score(SimpleNamespace(value=(L.pack_weights(w), vocabulary)))
+        faults = []
+        for _ in run(batch for _ in range(6)):
+            faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+        print(faults[-1] - faults[1])
+    """
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(done.stdout.split()[-1]) < 4000, done.stdout
+
+
+def test_logits_beyond_the_limit():
+    """They are cut off, and chances stay finite."""
+    w, vocabulary, ids = made(5)
+    w = {k: v * (200 if k in "QCU" else 1) for k, v in w.items()}
+    x, y, first = A.cut_blocks(ids, L.END)
+    logs, g = A.Block(w, vocabulary, vocabulary.place[x], first).logs(y, gradient=True)
+    assert np.isfinite(logs).all() and all(np.isfinite(v).all() for v in g.values())
+
+
 def test_ids_are_those_of_the_words():
     encode = encoding(RANKS).encode_ordinary
     for text in ("", "a B  c\n\n d\r\n", " x y \x0b z", "Été 12 it's…\t\t! K a\xa0b", "w" * 70 + " " + "é" * 80):

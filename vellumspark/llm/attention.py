@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import numpy as np
 
-STRIDE = 24
+STRIDE = 16
 SPAN = 2 * STRIDE
-WIDTH, HIDDEN, CLASSES, WIDE = 16, 32, 48, 512
+WIDTH, HIDDEN, CLASSES, WIDE = 16, 8, 24, 512
 SMOOTHING = 0.1
 
 Weights = dict[str, np.ndarray]
@@ -92,18 +92,29 @@ _SCALE = np.float32(WIDTH**-0.5)
 _LIMIT = np.float32(60)
 
 
-def _windows(blocks: np.ndarray) -> np.ndarray:
-    """Each block after the block before it; the first comes after nothing."""
-    flat = np.concatenate([np.zeros((STRIDE, WIDTH), np.float32), blocks.reshape(-1, WIDTH)])
-    each = flat.strides[0]
-    return np.lib.stride_tricks.as_strided(flat, (len(blocks), SPAN, WIDTH), (STRIDE * each, each, flat.itemsize), writeable=False)
+def _windows(flat: np.ndarray, n: int) -> np.ndarray:
+    """Each of n blocks after the block before it, as views of rows in which a block of zeros comes first."""
+    row, each = flat.strides
+    return np.lib.stride_tricks.as_strided(flat, (n, SPAN, flat.shape[1]), (STRIDE * row, row, each), writeable=False)
 
 
 def _folded(windows: np.ndarray) -> np.ndarray:
     """The sum of what a block's two windows give it."""
     out = windows[:, STRIDE:].copy()
     out[:-1] += windows[1:, :STRIDE]
-    return out
+    return out.reshape(-1, WIDTH)
+
+
+def _total(a: np.ndarray) -> np.ndarray:
+    """Sums of rows; a product is faster than a sum over short rows."""
+    return a @ np.ones(a.shape[1], a.dtype)
+
+
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """Their exponentials, in place of the logits, which are cut off at the limit."""
+    if logits.size and not (-_LIMIT <= logits.min() and logits.max() <= _LIMIT):
+        np.clip(logits, -_LIMIT, _LIMIT, out=logits)
+    return np.exp(logits, out=logits)
 
 
 class Block:
@@ -114,104 +125,130 @@ class Block:
         isn't the first of its text, it serves as context alone (its targets are -1), and ``lead`` is the place of
         the input before it."""
         self.w, self.vocabulary, self.x = w, vocabulary, x
+        n = len(x)
         self.blank = np.flatnonzero(first)
-        self.raw = w["E"][x]
-        flat = self.raw.reshape(-1, WIDTH)
-        self.before = np.zeros_like(flat)
-        self.before[1:] = flat[:-1]
+        raw = w["E"].take(x.ravel(), 0)
+        self.before = np.empty_like(raw)
+        self.before[1:] = raw[:-1]
         self.before[0] = w["E"][lead] if lead >= 0 else 0
         self.before[self.blank * STRIDE] = 0
-        self.e = self.raw + (self.before @ w["S"]).reshape(self.raw.shape)
-        self.q, self.k, self.v = self.e @ w["Q"], _windows(self.e @ w["K"]), _windows(self.e @ w["V"])
-        a = self.q @ self.k.transpose(0, 2, 1)
-        a *= _SCALE
-        np.clip(a, -_LIMIT, _LIMIT, out=a)
-        np.exp(a, out=a)
+        self.e = self.before @ w["S"]
+        self.e += raw
+        self.three = np.concatenate([w["Q"] * _SCALE, w["K"], w["V"]], axis=1)
+        flat = np.empty((len(raw) + STRIDE, 3 * WIDTH), self.e.dtype)
+        flat[:STRIDE] = 0
+        np.matmul(self.e, self.three, out=flat[STRIDE:])
+        q, k = flat[STRIDE:, :WIDTH], flat[:, WIDTH : 2 * WIDTH]
+        self.q, self.k, self.v = q.reshape(n, STRIDE, WIDTH), _windows(k, n), _windows(flat[:, 2 * WIDTH :], n)
+        a = _exp(self.q @ self.k.transpose(0, 2, 1))
         a *= np.exp(w["R"])[np.maximum(_DISTANCE, 0)] * _CAUSAL
         a[self.blank, :, :STRIDE] = 0
         a[0, :, :STRIDE] = 0
-        a /= a.sum(2, keepdims=True)
-        self.a = a
-        self.seen = a @ self.v
-        self.u = (self.e + self.seen).reshape(-1, WIDTH)
+        # Not normalized here: sums divide what is seen, which is narrower.
+        self.a, self.part = a, (1 / _total(a.reshape(-1, SPAN)))[:, None]
+        self.seen = (a @ self.v).reshape(-1, WIDTH)
+        self.seen *= self.part
+        self.u = self.e + self.seen
         self.z = self.u @ w["A"]
         self.z += w["a"]
         np.maximum(self.z, 0, out=self.z)
-        self.h = self.u + self.z @ w["B"]
+        self.h = self.z @ w["B"]
+        self.h += self.u
 
     def logs(self, y: np.ndarray, gradient: bool = False):
         """Log chance of each target (0 where it is -1); with ``gradient``, also the gradients of minus their mean."""
         w, vocabulary = self.w, self.vocabulary
         y = y.reshape(-1)
         at = np.flatnonzero(y >= 0)
-        h, target = self.h[at], y[at]
-        kind, rank = vocabulary.classes[target].astype(np.int64), vocabulary.rank[target].astype(np.int64)
-        logits = h @ w["C"] + w["c"]
-        np.clip(logits, -_LIMIT, _LIMIT, out=logits)
-        chances = np.exp(logits)
-        total = chances.sum(1)
-        row = np.arange(len(at))
-        found = logits[row, kind] - np.log(total)
-        by = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[by], np.arange(len(vocabulary.sizes) + 1))
+        rank = vocabulary.rank[y[at]].astype(np.uint16)
+        # By rank, so that the targets of a class lie together, and those of an id.
+        by = np.argsort(rank, kind="stable")
+        at, rank = at[by], rank[by]
+        h = self.h.take(at, 0)
+        edge = np.searchsorted(rank, vocabulary.edge)
+        kind = np.repeat(np.arange(len(vocabulary.sizes)), np.diff(edge))
+        logits = h @ w["C"]
+        logits += w["c"]
+        picked = np.arange(len(at)) * logits.shape[1] + kind
+        found = np.clip(logits.ravel().take(picked), -_LIMIT, _LIMIT)
+        chances = _exp(logits)
+        total = _total(chances)
+        found -= np.log(total)
         out = np.zeros(len(y), np.float64)
+        # Of ids with output vectors; a class of one id has nothing to tell apart.
+        inner_end = int(np.searchsorted(rank, vocabulary.narrow))
+        mine, own = w["U"].take(rank[:inner_end], 0), rank[:inner_end]
+        score, sums = _total(h[:inner_end] * mine), np.ones(inner_end, h.dtype)
+        score += w["u"][own]
+        np.clip(score, -_LIMIT, _LIMIT, out=score)
         g: Weights = {}
         if gradient:
-            scale = np.float32(1 / len(at))
-            chances /= total[:, None]
-            chances[row, kind] -= 1
-            chances *= scale
-            g["C"], g["c"] = h.T @ chances, chances.sum(0)
+            scale = h.dtype.type(1 / len(at))
+            chances *= (scale / total)[:, None]
+            chances.ravel()[picked] -= scale
+            g["C"], g["c"] = h.T @ chances, np.ones(len(at), h.dtype) @ chances
             dh = chances @ w["C"].T
             g["U"], g["u"] = np.zeros_like(w["U"]), np.zeros_like(w["u"])
-        for c in vocabulary.shared_out().tolist():
-            own = by[edge[c] : edge[c + 1]]
-            if not len(own):
+        shared, single = vocabulary.shared_out().tolist(), np.flatnonzero(vocabulary.sizes == 1).tolist()
+        for c in single:
+            score[edge[c] : edge[c + 1]], mine[edge[c] : edge[c + 1]] = 0, 0
+        for c in shared:
+            start, end = edge[c], edge[c + 1]
+            if start == end:
                 continue
             a, b = vocabulary.edge[c], vocabulary.edge[c + 1]
-            hc = h[own]
-            inner = hc @ w["U"][a:b].T
-            inner += w["u"][a:b]
-            np.clip(inner, -_LIMIT, _LIMIT, out=inner)
-            p = np.exp(inner)
-            sums, mine, each = p.sum(1), rank[own] - a, np.arange(len(own))
-            found[own] += inner[each, mine] - np.log(sums)
+            hc, vectors = h[start:end], w["U"][a:b]
+            p = hc @ vectors.T
+            p += w["u"][a:b]
+            sums[start:end] = _total(_exp(p))
             if gradient:
-                p /= sums[:, None]
-                p[each, mine] -= 1
-                p *= scale
-                g["U"][a:b], g["u"][a:b] = p.T @ hc, p.sum(0)
-                dh[own] += p @ w["U"][a:b]
-        wide = np.flatnonzero(rank >= vocabulary.narrow)
-        found[wide] += vocabulary.share[rank[wide]]
+                p *= (scale / sums[start:end])[:, None]
+                np.matmul(p.T, hc, out=g["U"][a:b])
+                g["u"][a:b] = np.ones(end - start, p.dtype) @ p
+                dh[start:end] += p @ vectors
+        score -= np.log(sums)
+        found[:inner_end] += score
+        found[inner_end:] += vocabulary.share[rank[inner_end:]]
         out[at] = found
         if not gradient:
             return out
+        # What the targets themselves take away.
+        if inner_end:
+            mine *= scale
+            dh[:inner_end] -= mine
+            new = np.flatnonzero(np.diff(own, prepend=own[0] + np.uint16(1)))
+            g["U"][own[new]] -= scale * np.add.reduceat(h[:inner_end], new, axis=0)
+            g["u"][own[new]] -= scale * np.diff(np.append(new, inner_end))
+            for c in single:
+                if vocabulary.edge[c] < vocabulary.narrow:
+                    g["U"][vocabulary.edge[c]], g["u"][vocabulary.edge[c]] = 0, 0
         full = np.zeros_like(self.h)
         full[at] = dh
         self._back(full, g)
         return out, g
 
     def _back(self, dh: np.ndarray, g: Weights) -> None:
-        w, n = self.w, len(self.x)
+        w, n, ones = self.w, len(self.x), np.ones(len(dh), dh.dtype)
         g["B"] = self.z.T @ dh
         dz = dh @ w["B"].T
         dz *= self.z > 0
-        g["A"], g["a"] = self.u.T @ dz, dz.sum(0)
-        du = (dh + dz @ w["A"].T).reshape(n, STRIDE, WIDTH)
-        dv = self.a.transpose(0, 2, 1) @ du
-        da = du @ self.v.transpose(0, 2, 1)
+        g["A"], g["a"] = self.u.T @ dz, ones @ dz
+        du = dz @ w["A"].T
+        du += dh
+        mean = (du * self.part).reshape(n, STRIDE, WIDTH)
+        dv = self.a.transpose(0, 2, 1) @ mean
+        da = mean @ self.v.transpose(0, 2, 1)
         # Of the softmax: a * (da - sum(a * da)), where the sum is du times what was seen.
-        da -= np.einsum("bsd,bsd->bs", du, self.seen)[:, :, None]
+        da -= _total(mean.reshape(-1, WIDTH) * self.seen).reshape(n, STRIDE, 1)
         da *= self.a
-        g["R"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=da.sum(0).ravel(), minlength=SPAN).astype(np.float32)
-        da *= _SCALE
-        dq, dk, dv = (da @ self.k).reshape(-1, WIDTH), _folded(da.transpose(0, 2, 1) @ self.q).reshape(-1, WIDTH), _folded(dv).reshape(-1, WIDTH)
-        e = self.e.reshape(-1, WIDTH)
-        g["Q"], g["K"], g["V"] = e.T @ dq, e.T @ dk, e.T @ dv
-        de = du.reshape(-1, WIDTH) + dq @ w["Q"].T
-        de += dk @ w["K"].T
-        de += dv @ w["V"].T
+        g["R"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=np.ones(n, da.dtype) @ da.reshape(n, -1), minlength=SPAN).astype(np.float32)
+        three = np.empty((len(dh), 3 * WIDTH), dh.dtype)
+        three[:, :WIDTH] = (da @ self.k).reshape(-1, WIDTH)
+        three[:, WIDTH : 2 * WIDTH], three[:, 2 * WIDTH :] = _folded(da.transpose(0, 2, 1) @ self.q), _folded(dv)
+        g["Q"], g["K"], g["V"] = np.split(self.e.T @ three, 3, axis=1)
+        g["Q"] = g["Q"] * _SCALE
+        de = three @ self.three.T
+        de += du
         g["S"] = self.before.T @ de
         before = de @ w["S"].T
         before[self.blank * STRIDE] = 0
@@ -219,7 +256,7 @@ class Block:
         x = self.x.ravel()
         order = np.argsort(x.astype(np.uint16), kind="stable")
         new = np.flatnonzero(np.diff(x[order], prepend=-1))
-        g["rows"], g["E"] = x[order][new], np.add.reduceat(de[order], new, axis=0)
+        g["rows"], g["E"] = x[order][new], np.add.reduceat(de.take(order, 0), new, axis=0)
 
 
 class Stream:
@@ -274,9 +311,27 @@ class Adam:
         self.steps += 1
         one, two = self.smooth
         rate = float(self.rate * (1 - two**self.steps) ** 0.5 / (1 - one**self.steps))
-        for k in self.w:
-            at = g["rows"] if k == "E" else slice(None)
-            m, s = self.m[k], self.s[k]
-            m[at] = one * m[at] + (1 - one) * g[k]
-            s[at] = two * s[at] + (1 - two) * g[k] ** 2
-            self.w[k][at] -= rate * m[at] / (np.sqrt(s[at]) + 1e-8)
+        for k, w in self.w.items():
+            m, s, own = self.m[k], self.s[k], g[k]
+            if k != "E":
+                self._move(w, m, s, own, rate)
+                continue
+            rows = g["rows"]
+            parts = [t.take(rows, 0) for t in (w, m, s)]
+            self._move(*parts, own, rate)
+            for t, part in zip((w, m, s), parts):
+                t[rows] = part
+
+    def _move(self, w: np.ndarray, m: np.ndarray, s: np.ndarray, g: np.ndarray, rate: float) -> None:
+        one, two = self.smooth
+        m *= one
+        m += (1 - one) * g
+        s *= two
+        g = g * g
+        g *= 1 - two
+        s += g
+        size = np.sqrt(s)
+        size += 1e-8
+        np.divide(m, size, out=size)
+        size *= rate
+        w -= size

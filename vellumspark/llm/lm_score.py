@@ -28,15 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .attention import Adam, Block, Stream, Vocabulary, Weights, cut_blocks, first_weights
-from .common import discard, frugal, held_out, materialize, worker_forgets, worker_keeps
+from .common import discard, frugal, held_out, materialize, reuses_memory, worker_forgets, worker_keeps
 from .token_counts import encoding, tokenizer_files
 from .unigram import SMOOTHING, unigram_sums
 
 VOCABULARY, END = 50_257, 50_256
 #: Blocks of one training step and of one scoring pass.
-BATCH, PASS = 192, 512
+BATCH, PASS = 512, 512
 #: Of every 16 hash values of texts, those that each round trains on, and its rate.
-ROUNDS = (((0,), 0.01), ((1, 2, 3), 0.01), ((4, 5, 6, 7), 0.007), (tuple(range(8, 16)), 0.005))
+ROUNDS = (((0,), 0.05), ((1, 2, 3), 0.05), ((4, 5, 6, 7), 0.03), (tuple(range(8, 16)), 0.015))
 #: Ids that a training task has at least: fewer would leave its weights near where they began.
 TASK_IDS = 6_000_000
 #: Words whose ids one Python worker remembers, and the longest of them in bytes.
@@ -141,6 +141,7 @@ def _train(shared, rate: float, slots: int):
     """Trains on all texts of a partition; yields its weights and how many ids they have learned from."""
 
     def run(batches):
+        reuses_memory()
         state, vocabulary = shared.value
         adam, stream, seen, slot = Adam(unpack_weights(state, vocabulary), rate), Stream(BATCH), 0, 0
 
@@ -186,7 +187,7 @@ def train_model(encoded: DataFrame) -> tuple[bytes, Vocabulary]:
     for part, rate in ROUNDS:
         shared = spark.sparkContext.broadcast((state, vocabulary))  # at most 14 MB: bounded by the vocabulary
         texts = encoded.where(F.col("train") & F.pmod("h", F.lit(16)).isin(*part)).select("h", "ids").coalesce(tasks)
-        states = texts.mapInArrow(_train(shared, rate, slots), _STATE)
+        states = texts.mapInArrow(frugal(_train(shared, rate, slots)), _STATE)
         rows = states.repartition(slots, "slot").mapInArrow(_average, _STATE).collect()  # the root of the number of tasks
         if rows:
             total = sum(r["weight"] for r in rows)
@@ -216,6 +217,7 @@ _SCORED = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.
 
 def _score(shared):
     def run(batches):
+        reuses_memory()
         state, vocabulary = shared.value
         w = unpack_weights(state, vocabulary)
         for batch in batches:
